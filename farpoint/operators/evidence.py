@@ -50,7 +50,7 @@ def window_evidence(
     return counts.select(*key, "seq", "slide_id", "nb_slide", (F.col("n") - own).alias("n")).where("n > 0")
 
 
-def _changes(panes: int) -> Column:
+def _changes(panes: Column) -> Column:
     """Count changes of a point, by number of slides after its own.
 
     A later slide adds to ``succ`` when it arrives. An earlier slide is in ``prev`` from the start
@@ -64,7 +64,7 @@ def _changes(panes: int) -> Column:
         return F.struct(step.cast("bigint").alias("step"), succ.alias("ds"), prev.alias("dp"))
 
     own = F.transform(
-        F.sequence(zero, F.lit(panes - 1).cast("bigint")),
+        F.sequence(zero, panes.cast("bigint") - 1),
         lambda j: change(j, F.when(j == 0, n - 1).otherwise(zero), zero),
     )
     return F.explode(
@@ -74,15 +74,20 @@ def _changes(panes: int) -> Column:
     )
 
 
-def counts_per_window(counts: SlideCounts, spec: WindowSpec, extra: Sequence[str] = ()) -> DataFrame:
+def counts_per_window(
+    counts: SlideCounts, spec: WindowSpec, extra: Sequence[str] = (), panes: Column | None = None
+) -> DataFrame:
     """``succ`` and ``prev`` of each point in each full window, from counts per slide.
 
+    With ``extra`` columns the rows hold several settings; ``panes`` may then differ per row.
+
     Linear in the slides of a window: changes per slide, summed up in order. All steps group by
     the place of the point, so they run in the stage of the neighbour join.
     """
     point = [*counts.point, *extra]
+    panes = F.lit(spec.panes) if panes is None else panes
     steps = (
-        counts.df.select(*point, _changes(spec.panes).alias("c"))
+        counts.df.select(*point, _changes(panes).alias("c"))
         .groupBy(*point, F.col("c.step").alias("step"))
         .agg(F.sum("c.ds").alias("ds"), F.sum("c.dp").alias("dp"))
     )
@@ -94,7 +99,7 @@ def counts_per_window(counts: SlideCounts, spec: WindowSpec, extra: Sequence[str
     summed = steps.withColumn("succ", F.sum("ds").over(so_far)).withColumn("prev", F.sum("dp").over(so_far))
     window_id = F.col("slide_id") + F.col("step")
     return summed.withColumn("window_id", window_id).where(
-        (F.col("window_id") >= spec.panes - 1) & (F.col("window_id") < full_slides(spec))
+        (F.col("window_id") >= panes - 1) & (F.col("window_id") < full_slides(spec))
     )
 
 

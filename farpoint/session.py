@@ -46,10 +46,21 @@ def release(df: DataFrame) -> None:
     """Delete the written tables of this session's scratch folder that ``df`` reads."""
     spark = df.sparkSession
     root = scratch_dir(spark)
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if f"{root}/" not in folder:
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"{root.split(':', 1)[-1]}/" in folder:
+            delete_folder(spark, folder)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path, fs = _path(spark, folder)
+    return fs.exists(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)
