@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from farpoint.functions.status import OUTLIER, SAFE, UNSAFE, classify
 from farpoint.operators.neighbors import BlockPairs, block_pairs
+from farpoint.operators.ordered import countable, ordered_slide_counts
 from farpoint.operators.windows import from_seq, full_slides, to_seq, window_ids
 from farpoint.specs import Attr, OutlierParams, WindowSpec
 
+# Slides from this size on are counted in order rather than by pairs, if the attributes allow it.
+ORDERED_SLIDE = 4096
+
 
 @dataclass(frozen=True)
 class SlideCounts:
@@ -37,8 +41,24 @@ def slide_counts(
     key: Sequence[str] = (),
     carry: Sequence[str] = (),
     probes: DataFrame | None = None,
+    method: str = "auto",
 ) -> SlideCounts:
-    return _count_slides(block_pairs(numbered, spec, attrs, radius, key, carry, probes))
+    """Neighbours of each point in each slide in reach.
+
+    ``pairs`` compares points block by block, which suits small windows and any attributes.
+    ``ordered`` counts on sorted values and never forms pairs; it needs a single numeric attribute
+    and is the choice of ``auto`` for large slides.
+    """
+    if method == "auto":
+        method = "ordered" if spec.slide >= ORDERED_SLIDE and countable(attrs) else "pairs"
+    if method == "pairs":
+        return _count_slides(block_pairs(numbered, spec, attrs, radius, key, carry, probes))
+    if method != "ordered" or not countable(attrs):
+        raise ValueError(f"method {method} does not apply to these attributes")
+    point = list(dict.fromkeys([*key, "seq", "slide_id", "stream_rows", *carry]))
+    return SlideCounts(
+        ordered_slide_counts(numbered, spec, attrs, radius, key, point, probes), [*key, "seq"], point
+    )
 
 
 def window_evidence(
@@ -92,7 +112,7 @@ def counts_per_window(
         .agg(F.sum("c.ds").alias("ds"), F.sum("c.dp").alias("dp"))
     )
     so_far = (
-        Window.partitionBy(*counts.place, "seq", *extra)
+        Window.partitionBy(*dict.fromkeys([*counts.place, "seq", *extra]))
         .orderBy("step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -111,9 +131,10 @@ def window_status(
     key: Sequence[str] = (),
     identity: Sequence[str] = (),
     probes: DataFrame | None = None,
+    method: str = "auto",
 ) -> DataFrame:
     """Neighbour counts and status of every point in every full window."""
-    counts = slide_counts(numbered, spec, attrs, params.radius, key, identity, probes)
+    counts = slide_counts(numbered, spec, attrs, params.radius, key, identity, probes, method)
     status = classify("succ", "prev", params.k).alias("status")
     return counts_per_window(counts, spec).select(*key, "window_id", "seq", *identity, "succ", "prev", status)
 
@@ -173,7 +194,7 @@ def _evidence_walk(
         "slides", lambda s: (s.nb_slide < F.col("slide_id")) & (s.nb_slide > F.col("window_id") - spec.panes)
     )
     total = lambda slides: F.aggregate(slides, F.lit(0).cast(n_type), lambda acc, s: acc + s.n)
-    place = [*counts.place, "window_id", "seq"]
+    place = list(dict.fromkeys([*counts.place, "window_id", "seq"]))
     walked = (
         windows.select(*place, (total(later) - 1).alias("succ"), earlier.alias("earlier"))
         .where(F.col("succ") < params.k)

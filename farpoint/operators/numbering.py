@@ -26,28 +26,46 @@ def number_rows(
     draw other bounds. Row numbers are then the position inside a partition plus the row count of
     the partitions before it, which needs only a count per partition.
     """
-    keys, order = list(key), list(order_by)
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    stored = materialize(
-        ranged.select("*", F.spark_partition_id().alias(_PART), row_in_partition.alias(_INDEX)), "numbered"
-    )
+    keys = list(key)
+    stored = _ranged_copy(df, keys, order_by)
     groups = stored.groupBy(*keys, _PART).agg(F.count("*").alias(_COUNT), F.min(_INDEX).alias(_FIRST))
     if keys:
         # Joined on (key, partition), which splits a hot key by partition.
         joined = stored.join(_offsets(groups, keys, total), [*keys, _PART])
-    else:
-        # One row per partition of the written table, however large the table is.
-        rows = sorted(groups.collect())
-        before, offsets = 0, []
-        for part, count, first in rows:
-            offsets.append((part, first, before))
-            before += count
-        schema = f"{_PART} int, {_FIRST} bigint, {_BEFORE} bigint"
-        summary = df.sparkSession.createDataFrame(offsets, schema)
-        joined = stored.join(F.broadcast(summary), [_PART]).withColumn(total, F.lit(before).cast("bigint"))
-    number = (F.col(_BEFORE) + F.col(_INDEX) - F.col(_FIRST) + 1).alias(seq)
-    return joined.select(*df.columns, number, total)
+        number = F.col(_BEFORE) + F.col(_INDEX) - F.col(_FIRST) + 1
+        return joined.select(*df.columns, number.alias(seq), total)
+    # One count per partition of the written table, however large the table is.
+    counts = {row[_PART]: row[_COUNT] for row in groups.collect()}
+    before = [0]
+    for part in range(max(counts, default=0) + 1):
+        before.append(before[-1] + counts.get(part, 0))
+    offset = F.expr(f"array({', '.join(f'{n}L' for n in before)})")[F.col(_PART)]
+    return stored.select(*df.columns, (offset + F.col(_INDEX) + 1).alias(seq), F.lit(before[-1]).cast("bigint").alias(total))
+
+
+def _ranged_copy(df: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """The table range-partitioned and sorted, written with partition number and position in it."""
+    ranged = df.repartitionByRange(*key, *order_by).sortWithinPartitions(*key, *order_by)
+    row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ranged.select("*", F.spark_partition_id().alias(_PART), row_in_partition.alias(_INDEX))
+    return materialize(numbered, "numbered")
+
+
+def running_total(df: DataFrame, value: str, order_by: Sequence[str], key: Sequence[str], name: str) -> DataFrame:
+    """Add ``name`` = sum of ``value`` up to and including the row, in order within each key.
+
+    Sums run inside the partitions of the sorted copy and start from the sum of the partitions
+    before, so a key of any size spreads over many tasks.
+    """
+    keys = list(key)
+    stored = _ranged_copy(df, keys, order_by)
+    in_order = Window.partitionBy(*keys).orderBy(_PART)
+    sums = stored.groupBy(*keys, _PART).agg(F.sum(value).alias(_COUNT))
+    before = (F.sum(_COUNT).over(in_order) - F.col(_COUNT)).alias(_BEFORE)
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, _PART]]
+    joined = stored.alias("s").join(sums.select(*keys, _PART, before).alias("o"), same).select("s.*", _BEFORE)
+    local = Window.partitionBy(*keys, _PART).orderBy(_INDEX).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.withColumn(name, F.sum(value).over(local) + F.col(_BEFORE)).select(*df.columns, name)
 
 
 def _offsets(groups: DataFrame, keys: list[str], total: str) -> DataFrame:

@@ -81,6 +81,12 @@ def window_status_wide(spark, sf):
     return evidence.window_status(t.numbered_events(spark, sf), WindowSpec(1000, 500), ATTRS, PARAMS, identity=["event_id"])
 
 
+@query
+def window_status_ordered(spark, sf):
+    points = t.numbered_events(spark, sf)
+    return evidence.window_status(points, WindowSpec(1000, 500), ATTRS, PARAMS, identity=["event_id"], method="ordered")
+
+
 @query
 def window_status_keyed(spark, sf):
     points = t.user_events(spark, sf)
@@ -260,6 +266,11 @@ def neighbor_counts_capped(spark, sf):
     return counts.select("l_orderkey", "l_linenumber", "neighbors")
 
 
+@query
+def neighbor_counts_ordered(spark, sf):
+    return ranges.neighbor_counts(t.events(spark, sf), ATTRS, PARAMS.radius).select("event_id", "neighbors")
+
+
 @query
 def pivot_range_join(spark, sf):
     anchors = t.label_anchors(spark, sf)

@@ -220,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "slide_sizes": f"WITH {_points(s)} SELECT sl AS slide_id, count(*) AS points FROM p GROUP BY 1",
         "window_status": _window_sql(status),
         "window_status_wide": _window_sql(status, wide),
+        "window_status_ordered": _window_sql(status, wide),
         "window_status_keyed": keyed,
         "window_report": _window_sql(report.format(user=", user_id")),
         "window_outliers": _window_sql(report.format(user="") + " WHERE status = 'Outlier'"),
@@ -261,6 +262,9 @@ def oracle_sql() -> dict[str, str]:
         "pivot_range_join": VECTOR_PAIRS,
         "neighbor_counts": _line_counts(),
         "neighbor_counts_capped": _line_counts(6),
+        "neighbor_counts_ordered": f"""SELECT a.event_id, count(b.event_id) AS neighbors FROM events a LEFT JOIN events b
+            ON a.event_id <> b.event_id AND b.value BETWEEN a.value - {q.PARAMS.radius} AND a.value + {q.PARAMS.radius}
+            AND {EVENT_DIST} <= {q.PARAMS.radius} GROUP BY 1""",
         "assign_pivots": f"WITH {ANCHORS} SELECT vec_id, arg_min(pivot_id, dist) AS pivot_id, round(min(dist), 6) AS distance FROM d GROUP BY 1",
         "assign_covering_pivots": f"""WITH {ANCHORS}, r AS (SELECT *, 1.2::DOUBLE + label * 0.01::DOUBLE AS radius FROM d),
             k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY (dist > radius)::INT,
