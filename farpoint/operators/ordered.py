@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations
-from math import inf, nextafter, sqrt
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +35,15 @@ def _subsets(names: Sequence[str]) -> list[tuple[str, ...]]:
 
 def _gap(radius: float, differing: int) -> float:
     """Largest numeric gap within the radius when ``differing`` nominal attributes differ."""
-    gap = sqrt(radius * radius - differing)
-    while sqrt(gap * gap + differing) > radius:
-        gap = nextafter(gap, 0.0)
-    while sqrt(nextafter(gap, inf) ** 2 + differing) <= radius:
-        gap = nextafter(gap, inf)
-    return gap
+    low, high = 0.0, 2.0 * radius + 1.0
+    while True:
+        middle = (low + high) / 2.0
+        if middle in (low, high):
+            return low
+        if sqrt(middle * middle + differing) <= radius:
+            low = middle
+        else:
+            high = middle
 
 
 def _terms(nominal: Sequence[str], radius: float) -> list[tuple[tuple[str, ...], float, int]]:
