@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,25 +59,39 @@ def tile_boxes(boxes: DataFrame, copies: int) -> DataFrame:
     return translate_boxes(placed, F.col("_col") * F.lit(size["xExtent"]), F.col("_row") * F.lit(size["yExtent"]), offset)
 
 
-def _level(cell: int) -> Column:
-    """Grid level at which a box covers at most 2 x 2 cells: level L has cells of side cell * 2^L."""
+def _grid(queries: DataFrame, boxes: DataFrame, cell: int | None) -> tuple[int, int]:
+    """Side of the finest cells (a power of two, about twice the usual box side) and the top level."""
     side = F.greatest(F.col("xMax") - F.col("xMin"), F.col("yMax") - F.col("yMin"), F.lit(1))
-    return F.greatest(F.ceil(F.log2(side / F.lit(cell))), F.lit(0)).cast("int")
+    sizes = [df.agg(F.avg(side), F.max(side)).first() for df in (queries, boxes)]
+    usual = max((average or 1.0) for average, _ in sizes)
+    widest = max((largest or 1) for _, largest in sizes)
+    if cell is None:
+        cell = 1 << max(1, ceil(log2(2.0 * usual)))
+    return cell, max(0, ceil(log2(widest / cell)))
 
 
-def _in_cells(boxes: DataFrame, placements: Column, cell: int) -> DataFrame:
-    """Boxes copied to the cells they cover at each (level, role) of ``placements``."""
-    size = F.lit(cell) * F.pow(F.lit(2), F.col("_level"))
+def _level(cell: int) -> Column:
+    """Grid level at which a box covers at most 2 x 2 cells: level L has cells of side cell * 2^L."""
+    side = F.greatest(F.col("xMax") - F.col("xMin"), F.col("yMax") - F.col("yMin"), F.lit(1))
+    return F.greatest(F.ceil(F.log2(side / F.lit(cell))), F.lit(0)).cast("int")  # same rule as _grid
+
+
+def _in_cells(boxes: DataFrame, top: int, query: bool, cell: int) -> DataFrame:
+    """Boxes copied to the cells they cover on each grid where they are to meet others."""
+    if top == 0:
+        placed = boxes.withColumn("_level", F.lit(0)).withColumn("_role", F.lit("a"))
+        size = F.lit(float(cell))
+    else:
+        placed = (
+            boxes.withColumn("_own", _level(cell))
+            .withColumn("_at", F.explode(_placements(top, query)))
+            .withColumn("_level", F.col("_at.level"))
+            .withColumn("_role", F.col("_at.role"))
+            .drop("_at", "_own")
+        )
+        size = F.lit(cell) * F.pow(F.lit(2), F.col("_level"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    return (
-        boxes.withColumn("_own", _level(cell))
-        .withColumn("_at", F.explode(placements))
-        .withColumn("_level", F.col("_at.level"))
-        .withColumn("_role", F.col("_at.role"))
-        .withColumn("_cx", F.explode(span("xMin", "xMax")))
-        .withColumn("_cy", F.explode(span("yMin", "yMax")))
-        .drop("_at", "_own")
-    )
+    return placed.withColumn("_cx", F.explode(span("xMin", "xMax"))).withColumn("_cy", F.explode(span("yMin", "yMax")))
 
 
 def _placements(top: int, query: bool) -> Column:
@@ -99,22 +114,21 @@ def _placements(top: int, query: bool) -> Column:
 def box_join(
     queries: DataFrame,
     boxes: DataFrame,
-    cell: int = 64,
+    cell: int | None = None,
     match_same_id: bool = False,
     carry: Sequence[str] = (),
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Pairs (``id``, ``hit``) of a query box and a box that intersects it.
 
-    Equality join on grid cells. Boxes wider than a cell live on coarser grids, so none covers more
+    Equality join on grid cells, whose side follows the usual box unless ``cell`` is given. Boxes wider than a cell live on coarser grids, so none covers more
     than 2 x 2 cells; a pair meets on the grid of its larger box and counts only in the cell that
     holds the lower left corner of the intersection. Crowded cells are cut into chunks.
     """
     columns = list(dict.fromkeys([*BOX, *carry]))
-    tops = [df.select(_level(cell).alias("l")).agg(F.max("l")).first()[0] or 0 for df in (queries, boxes)]
-    top = max(tops)
-    left = _in_cells(queries.select(*columns), _placements(top, True), cell)
-    right = _in_cells(boxes.select(*columns), _placements(top, False), cell)
+    cell, top = _grid(queries, boxes, cell)
+    left = _in_cells(queries.select(*columns), top, True, cell)
+    right = _in_cells(boxes.select(*columns), top, False, cell)
     right = right.select(*[F.col(c).alias(f"b_{c}") for c in columns], "_level", "_role", "_cx", "_cy")
     joined = salted_join(left, right, ["_level", "_role", "_cx", "_cy"], "id", "b_id", group_rows)
     size = F.lit(cell) * F.pow(F.lit(2), F.col("_level"))
@@ -136,9 +150,9 @@ def box_hits(pairs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     )
 
 
-def total_hits(boxes: DataFrame, cell: int = 64, group_rows: int = GROUP_ROWS) -> DataFrame:
+def total_hits(boxes: DataFrame, cell: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Number of ordered intersecting pairs; equal boxes are joined once and weighted."""
-    distinct = boxes.groupBy(*AXES).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    distinct = materialize(boxes.groupBy(*AXES).agg(F.count("*").alias("n"), F.min("id").alias("id")), "boxes")
     between = box_join(distinct, distinct, cell, carry=["n"], group_rows=group_rows).select(
         (F.col("n") * F.col("b_n")).alias("hits")
     )
@@ -195,7 +209,7 @@ def leaf_regions(partitioned: DataFrame) -> DataFrame:
 
 
 def box_join_regions(
-    queries: DataFrame, boxes: DataFrame, cutoff: int = 1024, cell: int = 64, group_rows: int = 200_000
+    queries: DataFrame, boxes: DataFrame, cutoff: int = 128, cell: int | None = None, group_rows: int = 200_000
 ) -> DataFrame:
     """Pairs (``id``, ``hit``) by way of leaf regions.
 
@@ -208,4 +222,4 @@ def box_join_regions(
     visits = box_join(queries.select(*BOX), regions, cell, match_same_id=True, carry=list(AXES))
     visits = visits.select("id", F.col("hit").alias("leaf_id"), *AXES)
     members = leaves.select(*[F.col(c).alias(f"b_{c}") for c in BOX], "leaf_id")
-    return visits.join(members, "leaf_id").where(boxes_intersect()).select("id", F.col("b_id").alias("hit"))
+    return visits.join(members.hint("merge"), "leaf_id").where(boxes_intersect()).select("id", F.col("b_id").alias("hit"))

@@ -56,22 +56,25 @@ def micro_clusters(
 
     ``cluster_id`` is the position of the head, which no other cluster shares.
     """
-    names = [a.name for a in used_attrs(attrs)]
     cells = _cells(attrs)
     points = with_slides(numbered, spec).select("*", *cell_columns(attrs, radius))
-    head = F.min(F.struct("seq", *names)).alias("_head")
+    attrs = used_attrs(attrs)
+    # Nominal values are those of the cell; numeric ones are taken from its first member.
+    first = [F.min_by(a.name, "seq").alias(f"_head_{a.name}") for a in attrs if a.numeric]
     # Numeric extremes bound the distance of any member from the head without a second pass.
-    numeric = [a.name for a in used_attrs(attrs) if a.numeric]
+    numeric = [a.name for a in attrs if a.numeric]
     spread = [e for n in numeric for e in (F.min(n).alias(f"_lo_{n}"), F.max(n).alias(f"_hi_{n}"))]
-    clusters = points.groupBy(*key, "slide_id", "stream_rows", *cells).agg(F.count("*").alias("n"), head, *spread)
-    gap = lambda n: F.greatest(F.col(f"_hi_{n}") - F.col(f"_head.{n}"), F.col(f"_head.{n}") - F.col(f"_lo_{n}"))
+    clusters = points.groupBy(*key, "slide_id", "stream_rows", *cells).agg(
+        F.count("*").alias("n"), F.min("seq").alias("cluster_id"), *first, *spread
+    )
+    gap = lambda n: F.greatest(F.col(f"_hi_{n}") - F.col(f"_head_{n}"), F.col(f"_head_{n}") - F.col(f"_lo_{n}"))
     reach = F.sqrt(sum((gap(n) * gap(n) for n in numeric), F.lit(0.0)))
     return clusters.select(
         *key,
         "slide_id",
         "stream_rows",
-        F.col("_head.seq").alias("cluster_id"),
-        *[F.col(f"_head.{n}").alias(n) for n in names],
+        "cluster_id",
+        *[F.col(f"_head_{a.name}" if a.numeric else f"_c{i}").alias(a.name) for i, a in enumerate(attrs)],
         "n",
         reach.alias("radius"),
     )
@@ -113,7 +116,7 @@ def cluster_neighbors(
     right = right.withColumn("_block", F.explode("_blocks")).withColumn("_bin", F.explode("_bins"))
     distance = mixed_distance(attrs)
     return (
-        left.join(right.drop("_blocks", "_bins"), [*key, "_block", "_bin"])
+        left.join(right.drop("_blocks", "_bins").hint("merge"), [*key, "_block", "_bin"])
         .where(F.abs(F.col("slide_id") - F.col("nb_slide")) < panes)
         .where(F.col("cluster_id") != F.col("nb_cluster"))
         .select(*key, "slide_id", "cluster_id", "nb_slide", "nb_cluster", distance.alias("distance"), "radius", "_nb_radius")

@@ -31,7 +31,7 @@ SPEC, PARAMS, ATTRS = t.EVENT_SPEC, t.EVENT_PARAMS, t.EVENT_ATTRS
 ARRIVAL_WIDTH = 200
 SWEEP = {"widths": [100, 200, 300], "slide": 50, "radii": [1.005, 2.005, 3.005], "ks": [3, 5, 8]}
 ORDERS_RADIUS, LINE_RADIUS, SELF_RADIUS, VECTOR_RADIUS = 75.005, 1.05, 0.055, 1.15
-LEAF_CUTOFF = 1000
+LEAF_CUTOFF = 100
 
 
 def query(f: Query) -> Query:
@@ -527,11 +527,11 @@ def boxes_from_file(spark, sf):
 
 # Streams -------------------------------------------------------------------------------------
 
-STREAM_BATCHES = 4
+STREAM_BATCHES = 3
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a folder that grew file by file in order of time."""
+def _run_on_growing_folder(spark: SparkSession, sf: str, start: Callable) -> None:
+    """Run a stream over the events each time the next part of them, in order of time, has arrived."""
     folder = _out(spark, "stream")
     rows = t.events(spark, sf)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -543,30 +543,32 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
             part = part.where(at > int(low))
         if high is not None:
             part = part.where(at <= int(high))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        part.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
 
 
 @query
 def stream_window_status(spark, sf):
     job = StreamJob(SPEC, PARAMS, ATTRS, t.EVENT_ORDER, _out(spark, "windows"), identity=["event_id"])
-    job.start(_event_stream(spark, sf)).awaitTermination()
+    _run_on_growing_folder(spark, sf, job.start)
     return job.read(spark).select("window_id", "seq", "event_id", "succ", "prev", "status")
 
 
 @query
 def stream_window_status_keyed(spark, sf):
     job = StreamJob(t.USER_SPEC, t.USER_PARAMS, ATTRS, t.EVENT_ORDER, _out(spark, "windows"), ["user_id"], ["event_id"])
-    job.start(_event_stream(spark, sf)).awaitTermination()
+    _run_on_growing_folder(spark, sf, job.start)
     return job.read(spark).select("user_id", "window_id", "seq", "event_id", "succ", "prev", "status")
 
 
 @query
 def stream_outliers_by_key(spark, sf):
     folder = _out(spark, "keyed")
-    status = stream_outliers_keyed(
-        _event_stream(spark, sf), "user_id", t.EVENT_ORDER, ATTRS, t.USER_SPEC, t.USER_PARAMS, ["event_id"]
-    )
-    writer = status.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(status.schema).parquet(f"{folder}/out")
+
+    def start(stream: DataFrame):
+        status = stream_outliers_keyed(stream, "user_id", t.EVENT_ORDER, ATTRS, t.USER_SPEC, t.USER_PARAMS, ["event_id"])
+        writer = status.writeStream.format("parquet").option("path", f"{folder}/out")
+        return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    _run_on_growing_folder(spark, sf, start)
+    return spark.read.parquet(f"{folder}/out")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -56,10 +56,13 @@ class StreamJob:
         spark = batch.sparkSession
         rows = batch.select(*self.columns)
         before = self.path("state", batch_id - 1)
-        tail = spark.read.parquet(before) if folder_exists(spark, before) else None
-        known = self._known(tail) if tail is not None else None
+        tail = None
+        if folder_exists(spark, before):
+            tail = spark.read.schema(rows.schema.add("seq", "long")).parquet(before)
+        known = self._known(tail)
 
-        marked = self._mark(rows, known)
+        last = F.coalesce(F.struct(*self.order) <= F.col("_last"), F.lit(False))
+        marked = known(rows, "_last").withColumn("_late", last)
         marked.where("_late").select(*self.columns).write.mode("overwrite").parquet(self.path("late", batch_id))
         numbered = number_rows(marked.where("NOT _late").select(*self.columns), self.order, self.key)
         points = self._merge(numbered, tail, known)
@@ -76,42 +79,44 @@ class StreamJob:
         delete_folder(spark, self.path("state", batch_id - 2))
         release(numbered)
 
-    def _known(self, tail: DataFrame) -> DataFrame:
-        """Rows numbered so far and the last of them, per key."""
-        last = F.max(F.struct(*self.order)).alias("_last")
-        return tail.groupBy(*self.key).agg(F.max("seq").alias("_seen"), last)
+    def _known(self, tail: DataFrame | None) -> Callable[[DataFrame, str], DataFrame]:
+        """A function that adds ``_seen`` (rows numbered so far) or ``_last`` (the last of them).
 
-    def _with_known(self, df: DataFrame, known: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-        if known is None:
-            nothing = {"_seen": F.lit(0).cast("bigint"), "_last": F.when(F.lit(False), F.struct(*self.order))}
-            return df.withColumns({c: nothing[c] for c in columns})
+        A stream without keys has one value of each, which is read once; with keys they are joined.
+        """
+        order = F.struct(*self.order)
+        if tail is None:
+            nothing = {"_seen": F.lit(0).cast("bigint"), "_last": F.when(F.lit(False), order)}
+            return lambda df, name: df.withColumn(name, nothing[name])
+        per_key = tail.groupBy(*self.key).agg(F.max("seq").alias("_seen"), F.max(order).alias("_last"))
         if self.key:
-            return df.join(known.select(*self.key, *columns), self.key, "left")
-        row = known.select(*columns)
-        return df.withColumn(columns[0], row.scalar())
-
-    def _mark(self, rows: DataFrame, known: DataFrame | None) -> DataFrame:
-        late: Column = F.coalesce(F.struct(*self.order) <= F.col("_last"), F.lit(False))
-        return self._with_known(rows, known, ["_last"]).withColumn("_late", late).drop("_last")
-
-    def _merge(self, numbered: DataFrame, tail: DataFrame | None, known: DataFrame | None) -> DataFrame:
+            return lambda df, name: df.join(per_key.select(*self.key, name), self.key, "left")
+        row = per_key.first()
+        values = {"_seen": F.lit(row["_seen"]).cast("bigint"), "_last": F.struct(*[F.lit(row["_last"][c]).alias(c) for c in self.order])}
+        return lambda df, name: df.withColumn(name, values[name])
+
+    def _merge(
+        self, numbered: DataFrame, tail: DataFrame | None, known: Callable[[DataFrame, str], DataFrame]
+    ) -> DataFrame:
         """Kept and new points with their final positions, the new total and the first open window."""
-        seen = F.coalesce("_seen", F.lit(0).cast("bigint"))
-        new = self._with_known(numbered, known, ["_seen"]).select(
+        none = F.lit(0).cast("bigint")
+        seen = F.coalesce("_seen", none)
+        new = known(numbered, "_seen").select(
             *self.columns, (F.col("seq") + seen).alias("seq"), (F.col("stream_rows") + seen).alias("stream_rows"),
             seen.alias("_seen"),
         )
+        points = new
+        if tail is not None:
+            old = known(tail, "_seen")
+            if self.key:
+                totals = numbered.groupBy(*self.key).agg(F.max("stream_rows").alias("_new"))
+                old = old.join(totals, self.key, "left")
+            else:
+                old = old.withColumn("_new", F.lit(numbered.count()))
+            total = (F.col("_seen") + F.coalesce("_new", none)).alias("stream_rows")
+            points = old.select(*self.columns, "seq", total, "_seen").unionByName(new)
         first_open = F.floor(F.col("_seen") / self.spec.slide).cast("bigint").alias("_from_window")
-        if tail is None:
-            return new.select(*self.columns, "seq", "stream_rows", first_open)
-        totals = numbered.groupBy(*self.key).agg(F.max("stream_rows").alias("_new"))
-        if self.key:
-            old = self._with_known(tail, known, ["_seen"]).join(totals, self.key, "left")
-        else:
-            old = self._with_known(tail, known, ["_seen"]).withColumn("_new", totals.select("_new").scalar())
-        total = (F.col("_seen") + F.coalesce("_new", F.lit(0).cast("bigint"))).alias("stream_rows")
-        old = old.select(*self.columns, "seq", total, "_seen")
-        return old.unionByName(new).select(*self.columns, "seq", "stream_rows", first_open)
+        return points.select(*self.columns, "seq", "stream_rows", first_open)
 
     # The stream ------------------------------------------------------------------------------
 

@@ -66,3 +66,17 @@ def test_keyed_state_equals_batch(spark, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     got = [tuple(r) for r in spark.read.schema(status.schema).parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == in_batch(spark, data, ["u"])
+
+
+def test_points_from_a_growing_csv_folder(spark, tmp_path):
+    from farpoint.sources.points import stream_points, to_points
+
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.csv").write_text(f"a,b\n{i},1.5\n{i + 10},oops\n")
+    good, bad = to_points(stream_points(spark, str(folder), ["a", "b"]), ["a", "b"])
+    for name, df in (("good_points", good), ("bad_points", bad)):
+        df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.a for r in spark.table("good_points").collect()) == [0.0, 1.0]
+    assert sorted(r.a for r in spark.table("bad_points").collect()) == ["10", "11"]
