@@ -91,8 +91,16 @@ class StreamJob:
         per_key = tail.groupBy(*self.key).agg(F.max("seq").alias("_seen"), F.max(order).alias("_last"))
         if self.key:
             return lambda df, name: df.join(per_key.select(*self.key, name), self.key, "left")
-        row = per_key.first()
-        values = {"_seen": F.lit(row["_seen"]).cast("bigint"), "_last": F.struct(*[F.lit(row["_last"][c]).alias(c) for c in self.order])}
+        # Read as text and cast back, so that no time zone of the driver gets in between.
+        last = [F.col(f"_last.{c}").cast("string").alias(c) for c in self.order]
+        row = per_key.select("_seen", *last).first()
+        if row["_seen"] is None:
+            return self._known(None)
+        types = {c: tail.schema[c].dataType for c in self.order}
+        values = {
+            "_seen": F.lit(row["_seen"]).cast("bigint"),
+            "_last": F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in self.order]),
+        }
         return lambda df, name: df.withColumn(name, values[name])
 
     def _merge(

@@ -48,10 +48,11 @@ def test_late_rows_go_aside_and_a_batch_may_run_twice(spark, tmp_path):
     data = rows(40, 3)
     late = [(0, 7, 99.0, "a")]
     job = StreamJob(SPEC, PARAMS, ATTRS, ["at"], str(tmp_path / "job"), identity=["at"])
-    first, second = (spark.createDataFrame(part, SCHEMA) for part in (data[:22], data[22:] + late))
-    job.process(first, 0)
-    job.process(second, 1)
-    job.process(second, 1)  # as after a failure
+    empty, first, second = (spark.createDataFrame(part, SCHEMA) for part in ([], data[:22], data[22:] + late))
+    job.process(empty, 0)
+    job.process(first, 1)
+    job.process(second, 2)
+    job.process(second, 2)  # as after a failure
     got = [tuple(r) for r in job.read(spark).select("window_id", "seq", "at", "succ", "prev", "status").collect()]
     assert len(got) == len(set(got)) and set(got) == in_batch(spark, data, [])
     assert [r.v for r in job.read(spark, "late").collect()] == [99.0]
