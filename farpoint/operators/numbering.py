@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from farpoint.session import materialize
 
+# Offsets that are sent to all tasks: counted first, and a few MB at most.
+BROADCAST_ROWS = 100_000
+
 _PART, _INDEX, _COUNT, _FIRST, _BEFORE = "_part", "_index", "_count", "_first", "_before"
 
 
@@ -21,7 +24,7 @@ def number_rows(
 ) -> DataFrame:
     """Add ``seq`` = 1..N in order within each key, and ``total`` = N.
 
-    ``order_by`` must be unique within a key. The table is range-partitioned by (key, order), so a
+    ``order_by`` must be unique within a key, and keys must not be NULL. The table is range-partitioned by (key, order), so a
     key of any size spreads over many tasks, and written once, since a second range sampling could
     draw other bounds. Row numbers are then the position inside a partition plus the row count of
     the partitions before it, which needs only a count per partition.
@@ -30,8 +33,11 @@ def number_rows(
     stored = _ranged_copy(df, keys, order_by)
     groups = stored.groupBy(*keys, _PART).agg(F.count("*").alias(_COUNT), F.min(_INDEX).alias(_FIRST))
     if keys:
-        # Joined on (key, partition), which splits a hot key by partition.
-        joined = stored.join(_offsets(groups, keys, total), [*keys, _PART])
+        # One row per key and partition, worked out once. If they are few they go to all tasks; else
+        # the join is on (key, partition), which splits a hot key by partition.
+        offsets = materialize(_offsets(groups, keys, total), "offsets")
+        few = offsets.count() <= BROADCAST_ROWS
+        joined = stored.join(F.broadcast(offsets) if few else offsets, [*keys, _PART])
         number = F.col(_BEFORE) + F.col(_INDEX) - F.col(_FIRST) + 1
         return joined.select(*df.columns, number.alias(seq), total)
     # One count per partition of the written table, however large the table is.

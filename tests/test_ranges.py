@@ -91,7 +91,9 @@ def test_tie_between_two_anchors_goes_to_the_second(spark):
     assert got == {1: 1, 2: 2, 3: 2}
 
 
-def test_numbering_with_a_dominant_key(spark):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 3])
+def test_numbering_with_a_dominant_key(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(numbering, "BROADCAST_ROWS", broadcast_rows)
     rows = [(0 if i % 3 else i, (i * 37) % 101, i) for i in range(101)]
     df = spark.createDataFrame(rows, "k int, at int, i int").repartition(7)
     got = numbering.number_rows(df, ["at"], ["k"]).collect()
