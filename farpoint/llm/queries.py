@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import simhash
+from farpoint.llm import line_dedup, mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,47 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op1_simhash_near_dedup(spark, sf):
     classes = simhash.simhash_classes(table(spark, sf, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_mix_sources(spark, sf):
+    mixed = mixing.mix_sources(table(spark, sf, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_size") * F.col("_copies")).alias("taken"),
+    )
+
+
+@query
+def op7_line_dedup(spark, sf):
+    kept = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op7_line_dedup"] = """
+WITH numbered AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM numbered
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), repeated AS (
+  SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated USING (k)
+GROUP BY r, doc_id
+"""
+
+
+@query
+def op8_best_fit_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"))

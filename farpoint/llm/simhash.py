@@ -239,8 +239,12 @@ def simhash_classes(
     names = word_columns(words)
     prints = materialize(fingerprints(docs, id_column, text, width, words), "prints")
     distinct = materialize(prints.groupBy(*names).agg(F.min(id_column).alias("first")), "distinct")
-    roots = connected_components(similar_fingerprints(distinct, words, max_distance, segment_bits, key_rows))
-    grouped = distinct.select("*", F.struct(*names).alias("node")).join(roots, "node", "left")
+    edges = similar_fingerprints(distinct, words, max_distance, segment_bits, key_rows)
+    node = F.struct(*names)
+    if words == 1:
+        edges, node = edges.select(F.col("a.w0").alias("a"), F.col("b.w0").alias("b")), F.col("w0")
+    roots = connected_components(edges)
+    grouped = distinct.select("*", node.alias("node")).join(roots, "node", "left")
     grouped = materialize(grouped.select(*names, "first", F.coalesce("root", "node").alias("root")), "classes")
     joined = grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
     several = joined.where("prints > 1").select("root", "component_id")
