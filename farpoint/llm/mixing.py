@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +80,7 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     max_epochs: float = MAX_EPOCHS,
     seed: int = SEED,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: its id, source, ``_size`` in words, ``_source_size``, ``_target`` of its source and ``_copies``.
 
@@ -87,10 +90,11 @@ def mix_sources(
     nearer than none. Sums in hash order are distributed, so a source of any size spreads over many
     tasks; a task of the filling sees distinct sizes only. Reruns agree. NULL is a source of its own and
     sorts last; NULL text has size 0; a document without words is taken as the whole repetitions say. Rows that
-    share an id are documents of their own. An empty table gives an empty table.
+    share an id are documents of their own. An empty table gives an empty table. ``carry`` columns are kept.
     """
     key = F.col(f"`{id_column}`")
-    sized = docs.select(key.alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("_size"))
+    kept = [F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(carry)]
+    sized = docs.select(key.alias("_id"), F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("_size"), *kept)
     sized = materialize(sized.withColumn("_hash", F.xxhash64(F.lit(seed), "_id", "_size")), "sized")
     sources = sized.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
     targets = water_fill(weights_in_turn(sources, weights), max_epochs)
@@ -114,6 +118,7 @@ def mix_sources(
     chosen = summed.alias("d").join(filled.alias("c"), same, "left").select("d.*", "c._chosen")
     extra = fits | F.col("_chosen").isNotNull()
     copies = (F.col("_whole") + F.when(extra & (F.col("_rest") > 0), 1).otherwise(0)).cast("bigint")
+    named = [F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)]
     return chosen.select(
-        F.col("_id").alias(id_column), F.col("_source").alias(source), "_size", "_source_size", "_target", copies.alias("_copies")
+        F.col("_id").alias(id_column), F.col("_source").alias(source), "_size", "_source_size", "_target", copies.alias("_copies"), *named
     )

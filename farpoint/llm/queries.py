@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farpoint.llm import line_dedup, mixing, packing, simhash
+from farpoint.llm import (
+    collision_ann,
+    line_dedup,
+    mixing,
+    packing,
+    perspectives,
+    pseudonyms,
+    quality,
+    simhash,
+    sorted_passes,
+    token_edits,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +40,16 @@ def op1_simhash_near_dedup(spark, sf):
     return classes.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_quality_classifier(spark, sf):
+    return quality.classify(table(spark, sf, "documents")).select("doc_id", "quality", "keep")
+
+
+@query
+def op3_pii_pseudonyms(spark, sf):
+    return pseudonyms.pseudonymise(table(spark, sf, "documents")).select("doc_id", "text", "n_private")
+
+
 @query
 def op4_mix_sources(spark, sf):
     mixed = mixing.mix_sources(table(spark, sf, "documents"))
@@ -41,6 +62,23 @@ def op4_mix_sources(spark, sf):
     )
 
 
+# Cleaning edits: runs of equal symbols and long numbers go.
+CLEANED = r"([#&$%*!=_~])\1+|[0-9]{5,}"
+
+
+@query
+def op5_token_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    edited = token_edits.edited_counts(token_edits.token_trees(token_edits.replacements(docs, CLEANED, "")))
+    return edited.select("doc_id", "n_before", "n_after", "n_encoded")
+
+
+@query
+def op6_nearest_neighbours(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return collision_ann.nearest_by_collisions(rows, rows.where("vec_id % 20 = 0"))
+
+
 @query
 def op7_line_dedup(spark, sf):
     kept = line_dedup.dedup_lines(table(spark, sf, "documents"))
@@ -71,3 +109,39 @@ GROUP BY r, doc_id
 @query
 def op8_best_fit_packing(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query
+def op9_embedding_near_dedup(spark, sf):
+    return sorted_passes.near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op10_chat_perspectives(spark, sf):
+    return perspectives.rotate_perspectives(table(spark, sf, "conversations"))
+
+
+ORACLES["op10_chat_perspectives"] = r"""
+WITH messages AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS s, replace(coalesce(text, ''), '<|', '<||') AS x FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, s AS assistant FROM messages WHERE s <> 'system'
+), pieces AS (
+  SELECT m.conv_id, assistant, turn, s, x,
+         CASE WHEN s = 'system' THEN '<|system|>' WHEN s = assistant THEN '<|assistant|>'
+              ELSE '<|user name=' || s || '|>' END || chr(10) AS head
+  FROM messages m JOIN people p ON m.conv_id = p.conv_id
+), placed AS (
+  SELECT *, head || x || '<|end|>' || chr(10) AS r,
+         sum(length(head || x || '<|end|>' || chr(10))) OVER (PARTITION BY conv_id, assistant ORDER BY turn, s) AS e
+  FROM pieces
+), parts AS (
+  SELECT *, CAST((e - length(r)) // 65536 AS BIGINT) AS part FROM placed
+), spans AS (
+  SELECT *, e - length(r) - min(e - length(r)) OVER (PARTITION BY conv_id, assistant, part) AS b FROM parts
+)
+SELECT conv_id, assistant, part, string_agg(r, '' ORDER BY b) AS rendered, count(*) AS n_messages,
+       coalesce(list(CAST(b + length(head) AS BIGINT) ORDER BY b) FILTER (s = assistant), []) AS mask_starts,
+       coalesce(list(CAST(b + length(r) AS BIGINT) ORDER BY b) FILTER (s = assistant), []) AS mask_ends
+FROM spans GROUP BY conv_id, assistant, part
+"""
