@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +33,14 @@ def cell_outliers(
     """Outliers per window, the same as by full counting.
 
     A point whose cell holds more than ``k`` points of the window has ``k`` neighbours for sure.
-    Only points that are in a sparser cell in at least one of their windows are searched.
+    Only points that are in a sparser cell in at least one of their windows are searched. A point with a
+    NULL or NaN attribute is in no cell and always searched.
     """
     cells = _cells(attrs)
-    points = with_slides(numbered, spec).select("*", *cell_columns(attrs, params.radius))
+    every = with_slides(numbered, spec).select("*", *cell_columns(attrs, params.radius))
+    gaps = [F.col(f"`{a.name}`").isNull() | (F.isnan(F.col(f"`{a.name}`").cast("double")) if a.numeric else F.lit(False)) for a in used_attrs(attrs)]
+    odd = reduce(or_, gaps, F.lit(False))
+    points = every.where(~odd)
     per_slide = points.groupBy(*key, "slide_id", "stream_rows", *cells).agg(F.count("*").alias("n"))
     in_window = Window.partitionBy(*key, "window_id", *cells)
     sparse = (
@@ -44,7 +50,7 @@ def cell_outliers(
         .select(*key, "slide_id", *cells)
         .distinct()
     )
-    suspects = points.join(sparse, [*key, "slide_id", *cells], "left_semi").drop(*cells, "slide_id")
+    suspects = points.join(sparse, [*key, "slide_id", *cells], "left_semi").unionByName(every.where(odd)).drop(*cells, "slide_id")
     status = window_status(numbered, spec, attrs, params, key, identity, probes=suspects)
     return status.where(F.col("status") == OUTLIER)
 

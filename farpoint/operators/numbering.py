@@ -24,7 +24,7 @@ def number_rows(
 ) -> DataFrame:
     """Add ``seq`` = 1..N in order within each key, and ``total`` = N.
 
-    ``order_by`` must be unique within a key, and keys must not be NULL. The table is range-partitioned by (key, order), so a
+    ``order_by`` must be unique within a key; rows whose key is NULL are a key of their own. The table is range-partitioned by (key, order), so a
     key of any size spreads over many tasks, and written once, since a second range sampling could
     draw other bounds. Row numbers are then the position inside a partition plus the row count of
     the partitions before it, which needs only a count per partition.
@@ -37,9 +37,10 @@ def number_rows(
         # the join is on (key, partition), which splits a hot key by partition.
         offsets = materialize(_offsets(groups, keys, total), "offsets")
         few = offsets.count() <= BROADCAST_ROWS
-        joined = stored.join(F.broadcast(offsets) if few else offsets, [*keys, _PART])
-        number = F.col(_BEFORE) + F.col(_INDEX) - F.col(_FIRST) + 1
-        return joined.select(*df.columns, number.alias(seq), total)
+        same = [F.col(f"s.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in [*keys, _PART]]
+        joined = stored.alias("s").join((F.broadcast(offsets) if few else offsets).alias("o"), same)
+        number = F.col(_BEFORE) + F.col(_INDEX) - F.col(f"o.{_FIRST}") + 1
+        return joined.select(*[F.col(f"s.`{c}`") for c in df.columns], number.alias(seq), F.col(f"o.`{total}`"))
     # One count per partition of the written table, however large the table is.
     counts = {row[_PART]: row[_COUNT] for row in groups.collect()}
     before = [0]

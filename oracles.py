@@ -262,9 +262,10 @@ def oracle_sql() -> dict[str, str]:
         "pivot_range_join": VECTOR_PAIRS,
         "neighbor_counts": _line_counts(),
         "neighbor_counts_capped": _line_counts(6),
-        "neighbor_counts_ordered": f"""SELECT a.event_id, count(b.event_id) AS neighbors FROM events a LEFT JOIN events b
+        "neighbor_counts_ordered": f"""WITH n AS (SELECT a.event_id, count(*) AS neighbors FROM events a JOIN events b
             ON a.event_id <> b.event_id AND b.value BETWEEN a.value - {q.PARAMS.radius} AND a.value + {q.PARAMS.radius}
-            AND {EVENT_DIST} <= {q.PARAMS.radius} GROUP BY 1""",
+            AND {EVENT_DIST} <= {q.PARAMS.radius} GROUP BY 1)
+            SELECT event_id, coalesce(neighbors, 0) AS neighbors FROM events LEFT JOIN n USING (event_id)""",
         "assign_pivots": f"WITH {ANCHORS} SELECT vec_id, arg_min(pivot_id, dist) AS pivot_id, round(min(dist), 6) AS distance FROM d GROUP BY 1",
         "assign_covering_pivots": f"""WITH {ANCHORS}, r AS (SELECT *, 1.2::DOUBLE + label * 0.01::DOUBLE AS radius FROM d),
             k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY (dist > radius)::INT,
