@@ -20,6 +20,8 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 # Rows that the scorer is fitted on, chosen by hash; label accuracies are estimated on all rows.
 TRAIN_ROWS = 8_000
 BUCKETS = 1 << 14
+# Words by which shares are damped, so that a text of few words stays near the share of good texts.
+DAMPING = 20
 ROUNDS = 60
 STEPS = 150
 # Words that a task remembers, some hundred bytes each; it starts anew when they are full.
@@ -145,12 +147,12 @@ class WordBuckets(dict):
 def features(raw: bytes, buckets: WordBuckets) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a text: shares of words and shapes, of repeated neighbours and of words seen before."""
     words = raw.split()
-    n = max(len(words), 1)
+    n = len(words)
     counts = Counter(words)
     pairs = [(b, c) for w, c in counts.items() for b in buckets[w]]
     index = np.array([0, 1, 2, *(b for b, _ in pairs)], dtype=np.int32)
-    value = np.array([n, sum(map(eq, words, words[1:])), _seen(n if words else 0, len(counts)), *(c for _, c in pairs)], dtype=np.float32)
-    return index, value / n
+    shares = np.array([sum(map(eq, words, words[1:])), _seen(n, len(counts)), *(c for _, c in pairs)], dtype=np.float32)
+    return index, np.concatenate([np.ones(1, dtype=np.float32), shares / (n + DAMPING)])
 
 
 def _seen(words: int, distinct: int) -> float:
@@ -165,10 +167,14 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     row = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["index"]])
     target = pdf["target"].to_numpy()
     w, m, v = (np.zeros(BUCKETS) for _ in range(3))
+    # The first weight stands for the share of good texts and is not trained.
+    share = (target.sum() + 1) / (len(target) + 2)
+    w[0] = np.log(share / (1 - share))
     for step in range(1, STEPS + 1):
         margin = np.bincount(row, weights=w[index] * value, minlength=len(pdf))
         error = 1 / (1 + np.exp(-margin)) - target
         slope = np.bincount(index, weights=value * error[row], minlength=BUCKETS) / len(pdf) + 1e-5 * w
+        slope[0] = 0
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w = w - 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return pd.DataFrame({"weights": [w.astype(np.float32).tobytes()]})
@@ -229,7 +235,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str =
             return float(weights[0])
         distinct = len(set(words))
         total = sum(map(kept.__getitem__, words))
-        return float(weights[0] + (weights[1] * sum(map(eq, words, words[1:])) + weights[2] * _seen(n, distinct) + total) / n)
+        return float(weights[0] + (weights[1] * sum(map(eq, words, words[1:])) + weights[2] * _seen(n, distinct) + total) / (n + DAMPING))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         margins = np.array([margin(t) for t in texts(batch.column(0))], dtype=np.float64)
