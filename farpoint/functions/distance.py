@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,10 +48,20 @@ def vector_distance(a: Column | str, b: Column | str, dims: int | None = None) -
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def distances_to(vector: Column | str, anchors: Sequence[Sequence[float]]) -> Column:
-    """Array with the distance of ``vector`` to each of a short list of fixed anchors."""
-    dims = len(anchors[0])
-    return F.array(*[vector_distance(vector, F.lit([float(x) for x in p]), dims) for p in anchors])
+def lone(attrs: list[Attr], radius: float) -> Column:
+    """True for points that nothing can be within ``radius`` of, not even a copy.
+
+    A NULL, NaN or infinite number has no distance. A NULL nominal value differs from every value, NULL
+    included, so points with too many of them are too far from all others.
+    """
+    odd, nulls = F.lit(False), F.lit(0)
+    for a in used_attrs(attrs):
+        value = F.col(f"`{a.name}`")
+        if a.numeric:
+            odd = odd | ~F.coalesce(F.abs(value.cast("double")) < F.lit(float("inf")), F.lit(False))
+        else:
+            nulls = nulls + value.isNull().cast("int")
+    return odd | (nulls > F.lit(float(radius) * float(radius)))
 
 
 def within(distance: Column, radius: float) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +108,10 @@ def block_pairs(
     search = Search(attrs, radius)
     panes, slide = spec.panes, spec.slide
     block_rows = min(max(spec.points, MIN_BLOCK), MAX_BLOCK)
-    place = [*key, "_block", "_bin", *search.equal]
+    # One value for the key and what must agree: unlike its parts it is never NULL.
+    match = [F.struct(*[F.col(f"`{n}`") for n in [*key, *search.equal]]).alias("_match")] if key or search.equal else []
+    meeting = ["_block", "_bin", *["_match" for _ in match]]
+    place = [*key, *meeting]
     names = [a.name for a in used_attrs(attrs)]
     points = with_slides(numbered, spec)
     searched = points if probes is None else with_slides(probes, spec)
@@ -121,16 +126,16 @@ def block_pairs(
         *[F.col(f"`{n}`") for n in names],
         F.floor((F.col("seq") - 1) / block_rows).cast("bigint").alias("_block"),
         search.own_bin().alias("_bin"),
+        *match,
     )
     first = F.greatest(F.floor((F.col("slide_id") - (panes - 1)) * slide / block_rows), F.lit(0)).cast("bigint")
     last = F.floor(((F.col("slide_id") + panes) * slide - 1) / block_rows).cast("bigint")
     right = (
         points.select(
-            *key,
+            *match,
             F.col("seq").alias("nb_seq"),
             F.col("slide_id").alias("nb_slide"),
             *[F.col(f"`{n}`").alias(f"b_{n}") for n in names if n not in search.equal],
-            *[F.col(f"`{n}`") for n in search.equal],
             F.sequence(first, last).alias("_blocks"),
             search.reachable_bins().alias("_bins"),
         )
@@ -139,9 +144,10 @@ def block_pairs(
         .drop("_blocks", "_bins")
     )
     same = F.col("seq") == F.col("nb_seq")
-    pairs = left.join(right.hint(JOIN), place).where(
+    known = reduce(and_, [F.col(f"`{n}`").isNotNull() for n in search.equal], F.lit(True))
+    pairs = left.join(right.hint(JOIN), meeting).where(
         (F.abs(F.col("nb_slide") - F.col("slide_id")) < panes)
-        & (same | (search.distance() <= F.lit(float(radius))))
+        & (same | (known & (search.distance() <= F.lit(float(radius)))))
     )
     point = list(dict.fromkeys([*place, "seq", "slide_id", "stream_rows", *carry]))
     df = pairs.select(*[F.col(f"`{c}`") for c in point], "nb_seq", "nb_slide", search.distance().alias("distance"))

@@ -9,12 +9,15 @@ adding and subtracting (inclusion and exclusion).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 from math import sqrt
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farpoint.functions.distance import lone
 from farpoint.operators.numbering import running_total
 from farpoint.operators.windows import with_slides
 from farpoint.specs import Attr, WindowSpec, used_attrs
@@ -76,7 +79,10 @@ def _bound(value: Column, step: float, lower: bool) -> tuple[Column, Column]:
 
 
 def _rows(attrs: list[Attr], radius: float) -> tuple[Column, Column, list[str]]:
-    """Arrays of data rows and of interval bounds per point, and the columns that group them."""
+    """Arrays of data rows and of interval bounds per point, and the columns that group them.
+
+    Where an attribute is required equal, a point with NULL there has no rows, since NULL equals nothing.
+    """
     used = used_attrs(attrs)
     value = F.col(f"`{next(a.name for a in used if a.numeric)}`").cast("double")
     nominal = [a.name for a in used if not a.numeric]
@@ -87,18 +93,23 @@ def _rows(attrs: list[Attr], radius: float) -> tuple[Column, Column, list[str]]:
     def row(equal: tuple[str, ...], x: Column, kind: Column, weight: int) -> Column:
         required = [F.when(F.lit(n in equal), F.col(f"`{n}`")).alias(f"_g{i}") for i, n in enumerate(nominal)]
         kept = [F.lit(groupings.index(equal)).alias("_set"), *required]
-        return F.struct(*kept, x.alias("_x"), kind.cast("int").alias("_kind"), F.lit(weight).alias("_weight"))
+        made = F.struct(*kept, x.alias("_x"), kind.cast("int").alias("_kind"), F.lit(weight).alias("_weight"))
+        known = reduce(and_, [F.col(f"`{n}`").isNotNull() for n in equal], F.lit(True))
+        return F.when(known, made)
 
     data = F.array(*[row(equal, value, F.lit(_DATA), 0) for equal in groupings])
     bounds = []
     for equal, gap, weight in terms:
         bounds.append(row(equal, *_bound(value, gap, lower=False), weight))
         bounds.append(row(equal, *_bound(value, -gap, lower=True), -weight))
-    return data, F.array(*bounds), groups
+    return F.array_compact(data), F.array_compact(F.array(*bounds)), groups
 
 
 def ordered_counts(vectors: DataFrame, attrs: list[Attr], radius: float, weight: str, name: str) -> DataFrame:
-    """``vectors`` (distinct attribute values) with the total ``weight`` of all vectors within the radius."""
+    """``vectors`` (distinct attribute values) with the total ``weight`` of all vectors within the radius.
+
+    None of them may be lone, see :func:`farpoint.functions.distance.lone`.
+    """
     data, bounds, groups = _rows(attrs, radius)
     names = [a.name for a in used_attrs(attrs)]
     fields = [f"r.{c}" for c in (*groups, "_x", "_kind", "_weight")]
@@ -122,11 +133,15 @@ def ordered_slide_counts(
 ) -> DataFrame:
     """Neighbours of each point per slide in reach, itself included: columns ``point``, nb_slide, n.
 
-    Values are sorted per slide, so a sort group holds one slide and the bounds that look at it.
+    Values are sorted per slide, so a sort group holds one slide and the bounds that look at it. Points
+    without any neighbour for their NULL or NaN attributes have a row for themselves only.
     """
     data, bounds, groups = _rows(attrs, radius)
     points = with_slides(numbered, spec)
     searched = points if probes is None else with_slides(probes, spec)
+    apart = lone(attrs, radius)
+    alone = searched.where(apart)
+    points, searched = points.where(~apart), searched.where(~apart)
     fields = [f"r.{c}" for c in (*groups, "_x", "_kind", "_weight")]
     columns = [F.col(f"`{c}`") for c in point]
     last = F.floor((F.col("stream_rows") - 1) / spec.slide).cast("bigint")
@@ -148,5 +163,7 @@ def ordered_slide_counts(
     )
     below = F.sum((F.col("_kind") == _DATA).cast("bigint")).over(so_far)
     counted = rows.withColumn("_below", below).where(F.col("_kind") != _DATA)
-    counts = counted.groupBy(*columns, "nb_slide").agg(F.sum(F.col("_weight") * F.col("_below")).alias("n"))
+    parts = counted.select(*columns, "nb_slide", (F.col("_weight") * F.col("_below")).alias("_part"))
+    parts = parts.unionByName(alone.select(*columns, F.col("slide_id").alias("nb_slide"), F.lit(1).cast("bigint").alias("_part")))
+    counts = parts.groupBy(*columns, "nb_slide").agg(F.sum("_part").alias("n"))
     return counts.where("n > 0")

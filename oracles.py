@@ -88,6 +88,19 @@ ANCHORS = """anchors AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GRO
     v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     d AS (SELECT v.vec_id, a.vec_id AS pivot_id, a.label, list_distance(v.v, a.v) AS dist FROM v, a)"""
 
+
+def _farthest_first(n: int) -> str:
+    """``n`` rounds written out: each takes the row that is farthest from its nearest anchor."""
+    rounds = """v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    p0 AS MATERIALIZED (SELECT * FROM v ORDER BY vec_id LIMIT 1),
+    d0 AS MATERIALIZED (SELECT v.vec_id, v.v, list_distance(v.v, p0.v) AS d FROM v, p0)"""
+    for i in range(1, n):
+        rounds += f""",
+    p{i} AS MATERIALIZED (SELECT vec_id, v FROM d{i - 1} WHERE d > 0 ORDER BY d DESC, vec_id LIMIT 1),
+    d{i} AS MATERIALIZED (SELECT e.vec_id, e.v, least(e.d, list_distance(e.v, p{i}.v)) AS d FROM d{i - 1} e, p{i})"""
+    return f"WITH {rounds} " + " UNION ALL ".join(f"SELECT vec_id FROM p{i}" for i in range(n))
+
+
 VECTOR_PAIRS = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
     SELECT a.vec_id, b.vec_id AS nb_vec_id, round(list_distance(a.v, b.v), 6) AS distance
     FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= {q.VECTOR_RADIUS}"""
@@ -260,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
             ON a.event_type = b.event_type AND {EVENT_DIST} <= {q.SELF_RADIUS}""",
         "range_join_vec": VECTOR_PAIRS,
         "pivot_range_join": VECTOR_PAIRS,
+        "farthest_first_pivots": _farthest_first(8),
         "neighbor_counts": _line_counts(),
         "neighbor_counts_capped": _line_counts(6),
         "neighbor_counts_ordered": f"""WITH n AS (SELECT a.event_id, count(*) AS neighbors FROM events a JOIN events b

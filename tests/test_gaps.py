@@ -1,9 +1,16 @@
 """Rows with NULL keys and NULL or NaN values stay in every result."""
 
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
 from farpoint import Attr, OutlierParams, WindowSpec
 from farpoint.operators.cells import cell_outliers
 from farpoint.operators.evidence import window_status
 from farpoint.operators.numbering import number_rows
+from farpoint.operators.ranges import neighbor_counts
+from farpoint.operators.skew import hot_keys, salted_join
 
 NAN = float("nan")
 ROWS = [(i, None if i in (2, 5) else "u", v) for i, v in enumerate([1.0, 1.1, None, 1.2, NAN, 1.3, 1.4, 1.5])]
@@ -22,3 +29,62 @@ def test_points_without_a_value_are_outliers(spark):
     full = window_status(df, spec, attrs, params, identity=["id"], method="pairs").where("status = 'Outlier'")
     short = cell_outliers(df, spec, attrs, params, identity=["id"])
     assert {r.id for r in short.collect()} == {r.id for r in full.collect()} == {2, 4}
+
+
+# id, value, kind; kinds a and b, or none.
+GAPS = [(i, v, k) for i, (v, k) in enumerate(
+    [(1.0, "a"), (1.1, None), (None, "a"), (1.2, "b"), (NAN, "a"), (1.3, None), (1.0, "a"), (NAN, None), (float("inf"), "b"), (1.2, "b")]
+)]
+ATTRS = [Attr("value"), Attr("kind", "nominal")]
+
+
+def _near(a, b, radius):
+    if any(v is None or not math.isfinite(v) for v in (a[1], b[1])):
+        return False
+    return math.sqrt((a[1] - b[1]) ** 2 + (a[2] is None or a[2] != b[2])) <= radius
+
+
+@pytest.mark.parametrize("radius", [0.15, 0.5, 1.005, 1.5])
+def test_every_row_is_counted_by_both_methods(spark, radius):
+    df = number_rows(spark.createDataFrame(GAPS, "id int, value double, kind string"), ["id"])
+    slide, width = 2, 6
+    expected = {
+        (w, a[0], sum(_near(a, b, radius) and b[0] // slide >= a[0] // slide for b in window if b is not a),
+         sum(_near(a, b, radius) and b[0] // slide < a[0] // slide for b in window))
+        for w in range(2, 5)
+        for window in [GAPS[(w - 2) * slide : (w + 1) * slide]]
+        for a in window
+    }
+    for method in ("pairs", "ordered"):
+        got = window_status(df, WindowSpec(width, slide), ATTRS, OutlierParams(radius, 2), identity=["id"], method=method)
+        rows = [(r.window_id, r.id, r.succ, r.prev) for r in got.collect()]
+        assert len(rows) == len(expected) and set(rows) == expected, method
+
+
+@pytest.mark.parametrize("radius", [0.15, 1.005])
+@pytest.mark.parametrize("cap", [None, 1])
+@pytest.mark.parametrize("numbers", [1, 2])
+def test_neighbor_counts_keep_every_row(spark, radius, cap, numbers):
+    df = spark.createDataFrame([(*r, 0.0) for r in GAPS], "id int, value double, kind string, other double")
+    attrs = ATTRS if numbers == 1 else [*ATTRS, Attr("other")]
+    got = {r.id: r.neighbors for r in neighbor_counts(df, attrs, radius, cap).collect()}
+    counts = {a[0]: sum(_near(a, b, radius) for b in GAPS if b is not a) for a in GAPS}
+    assert got == {i: n if cap is None else min(n, cap) for i, n in counts.items()}
+
+
+def test_null_keys_keep_their_windows(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "u", float(i)) for i in range(8)], "id int, user string, value double")
+    points = number_rows(df, ["id"], ["user"])
+    for method in ("pairs", "ordered"):
+        got = window_status(points, WindowSpec(4, 2), [Attr("value")], OutlierParams(2.5, 1), ["user"], ["id"], method=method)
+        assert sorted(r.id for r in got.collect()) == list(range(8)), method
+
+
+def test_many_tied_hot_keys_are_all_split(spark):
+    left = spark.range(600).select(F.col("id").alias("a"), (F.col("id") % 200).alias("k"))
+    right = spark.range(600).select(F.col("id").alias("b"), (F.col("id") % 200).alias("k"))
+    assert hot_keys(left, right, ["k"], 2).count() == 200
+    joined = salted_join(left, right, ["k"], "a", "b", 2)
+    assert "TakeOrdered" not in joined._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.a, r.b) for r in joined.collect()]
+    assert len(rows) == len(set(rows)) == 1800 and all(a % 200 == b % 200 for a, b in rows)
