@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farpoint.llm.arrow import map_texts
-from farpoint.llm.components import connected_components
+from farpoint.llm.components import connected_components, tied_to_smallest
 from farpoint.llm.vectors import matrix, usable, usable_rows
 from farpoint.operators.numbering import number_rows
 from farpoint.session import materialize
@@ -68,7 +68,7 @@ def _codes(vectors: DataFrame, numbers: range, seed: int) -> DataFrame:
 def _window_pairs(codes: DataFrame, window: int, block: int, most_bits: int) -> DataFrame:
     """Pairs of rows of a pass at most ``window`` apart in code order whose codes differ in few bits.
 
-    ``codes`` has a class ``_class``; pairs of one class are left out.
+    ``codes`` has a class ``_class``; pairs of one class are left out. A pair has one ``home``, a block in which it met.
     """
     numbered = number_rows(codes, ["_code", "_id"], key=["_pass", "_length"], seq="_seq", total="_rows")
     own = F.expr(f"(_seq - 1) div {block}")
@@ -87,10 +87,13 @@ def _window_pairs(codes: DataFrame, window: int, block: int, most_bits: int) ->
             left.append(ids[:-lag][near])
             right.append(ids[lag:][near])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        home = pdf["_home"].to_numpy()[:1].repeat(len(a))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "home": home})
 
-    columns = ["_pass", "_length", "_block", "_own", "_seq", "_code", "_id", "_class"]
-    return copied.select(*columns).groupBy("_pass", "_length", "_block").applyInPandas(compare, "a bigint, b bigint").distinct()
+    home = F.xxhash64("_pass", "_length", "_block").alias("_home")
+    columns = ["_own", "_block", "_seq", "_code", "_id", "_class"]
+    met = copied.select(home, *columns).groupBy("_home").applyInPandas(compare, "a bigint, b bigint, home bigint")
+    return met.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -98,16 +101,16 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not batch.num_rows:
-            return batch.select(["a", "b"])
+            return batch.select(["a", "b", "home"])
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             x, y = np.array(x, dtype=np.float64), np.array(y, dtype=np.float64)
             keep.append(bool(_unit(x[None])[0] @ _unit(y[None])[0] >= threshold))
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+        return batch.select(["a", "b", "home"]).filter(pa.array(keep))
 
     side = lambda name: vectors.select(F.col("_id").alias(name), F.col("_v").alias(f"_v{name}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_va", "_vb")
-    return map_texts(joined, work, "a bigint, b bigint")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "home", "_va", "_vb")
+    return map_texts(joined, work, "a bigint, b bigint, home bigint")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -183,11 +186,12 @@ def near_duplicate_vectors(
 
     codes = materialize(_codes(vectors, range(number + 1), seed), "codes")
     first = codes.where("_pass = 0").withColumn("_class", F.col("_id"))
-    links = materialize(_verified(_window_pairs(first, 2, block, most_bits), vectors, threshold), "links")
+    links = _verified(_window_pairs(first, 2, block, most_bits), vectors, threshold)
+    links = materialize(tied_to_smallest(links, "home"), "links")
     roots = materialize(connected_components(links), "roots").select(F.col("node").alias("_id"), "root")
     classed = codes.where("_pass > 0").join(roots, "_id", "left").withColumn("_class", F.coalesce("root", "_id")).drop("root")
     more = _verified(_window_pairs(classed, window, block, most_bits), vectors, threshold)
-    links = materialize(links.union(more), "links")
+    links = materialize(links.union(tied_to_smallest(more, "home")), "links")
     roots = materialize(connected_components(links), "roots").select(F.col("node").alias("_id"), F.col("root").alias("_class"))
     members = roots.join(vectors, "_id").select("_class", "_id", "_n", "_v")
     counts = roots.join(_class_links(members, threshold, chunk), "_id").select("_id", "_class", "_links")
