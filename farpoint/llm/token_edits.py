@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def build_tree(text: str, count, leaf_chars: int) -> tuple[SegmentTree, SegmentT
 
 
 def apply_edits(
-    text: str, chars: SegmentTree, tokens: SegmentTree, edits: list[tuple[int, int, str]], count
+    text: str, chars: SegmentTree, tokens: SegmentTree, edits: Iterable[tuple[int, int, str]], count
 ) -> tuple[str, int]:
     """Edit the trees in place; the new text and the characters that were encoded anew.
 
@@ -123,6 +124,21 @@ def apply_edits(
     return "".join(pieces), encoded
 
 
+def _edits_by_row(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, lengths and replacements of each row's edits; those without a start or length are left out."""
+    offsets = column.offsets.to_numpy()
+    edits = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    start, length, replacement = (edits.field(name) for name in ("start", "length", "replacement"))
+    known = [x.is_valid().to_numpy(zero_copy_only=False) for x in (edits, start, length)]
+    used = known[0] & known[1] & known[2]
+    numbers = [x.fill_null(0).to_numpy() for x in (start, length)]
+    new = replacement.fill_null("").to_numpy(zero_copy_only=False)
+    for given, low, high in zip(column.is_valid().to_pylist(), offsets, offsets[1:]):
+        kept = low + np.flatnonzero(used[low:high]) if given else np.zeros(0, dtype=np.int64)
+        yield numbers[0][kept], numbers[1][kept], new[kept]
+
+
 def token_trees(docs: DataFrame, text: str = "text", path: str | None = None, leaf_chars: int = LEAF_CHARS, name: str = "tree") -> DataFrame:
     """``docs`` with the segment tree of each text. NULL text counts as empty: a tree of one leaf with sum 0."""
     path = path or tokenizer_path()
@@ -147,7 +163,7 @@ def edited_counts(
 
     ``edits`` is an array of structs (``start``, ``length``, ``replacement``) in characters of the text. They must not
     overlap, so a row's edits are bounded by its text; a start or end beyond the text counts as its end.
-    NULL edits are none; NULL text is empty; a NULL replacement is empty. Rows are independent, so repeated
+    NULL edits and those with a NULL start or length are none; NULL text is empty; a NULL replacement is empty. Rows are independent, so repeated
     rows and ties give equal results. An empty table gives an empty table. Columns called like the results are replaced.
     """
     path = path or tokenizer_path()
@@ -156,12 +172,12 @@ def edited_counts(
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         count = lambda leaf: len(encoder(path).ids(leaf.encode()))
         new_texts, new_trees, numbers = [], [], []
-        for raw, sums, changes in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for raw, sums, (start, length, replacement) in zip(texts(batch.column(0)), batch.column(1).to_pylist(), _edits_by_row(batch.column(2))):
             old = raw.decode("utf-8", "replace")
             chars, tokens = (SegmentTree(np.array(sums[c], dtype=np.int64)) for c in ("chars", "tokens"))
             before = tokens.total
-            inside = lambda n: min(max(n, 0), len(old))  # noqa: B023
-            plain = [(inside(e["start"]), inside(e["start"] + e["length"]) - inside(e["start"]), e["replacement"] or "") for e in changes or []]
+            begin, end = (np.clip(x, 0, len(old)) for x in (start, start + length))
+            plain = zip(begin.tolist(), (end - begin).tolist(), replacement.tolist())
             new, encoded = apply_edits(old, chars, tokens, plain, count)
             new_texts.append(new)
             new_trees.append({"chars": chars.sums.tolist(), "tokens": tokens.sums.tolist()})
@@ -185,12 +201,15 @@ def replacements(docs: DataFrame, pattern: str, replacement: str, text: str = "t
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         search = re.compile(pattern)
-        found = []
+        spans, offsets = [], [0]
         for raw in texts(batch.column(0)):
-            spans = (m.span() for m in search.finditer(raw.decode("utf-8", "replace")))
-            found.append([{"start": a, "length": b - a, "replacement": replacement} for a, b in spans])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, kind)], names=["_row", "_edits"])
+            spans.extend(m.span() for m in search.finditer(raw.decode("utf-8", "replace")))
+            offsets.append(len(spans))
+        start, end = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+        columns = [pa.array(start), pa.array(end - start), pa.array([replacement] * len(spans), pa.string())]
+        edits = pa.StructArray.from_arrays(columns, names=["start", "length", "replacement"])
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), edits)
+        return pa.RecordBatch.from_arrays([batch.column(1), found], names=["_row", "_edits"])
 
     others = [c for c in docs.columns if c != name]
     held = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))

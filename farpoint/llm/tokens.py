@@ -62,11 +62,11 @@ class WordEncoder:
             ids = np.array(self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                found = np.split(ids, cuts[:-1])
+                raw, edges = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+                found = [raw[x:y] for x, y in zip(edges, edges[1:])]
             else:
-                found = [self._alone(t) for _, t in some]
-            for (part, _), own in zip(some, found):
-                self.known[part] = own.tobytes()
+                found = [self._alone(t).tobytes() for _, t in some]
+            self.known.update(zip((part for part, _ in some), found))
         for part, text in pairs:
             self.known[part] += self._mark(text[-1])
         for part, text in others:

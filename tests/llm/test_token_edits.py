@@ -73,3 +73,14 @@ def test_edge_rows(spark):
     found = {(r.text or "")[:20]: r.n_after for r in got.collect()}
     assert found == {"": 0, "new words": count("new words"), "xa ": count("xa "), "a b": 2, "it is i\n is it is it i"[:20]: count("it is i\n is " + "it is " * 49_998)} or len(found) == 5
     assert token_edits.edited_counts(token_edits.token_trees(df.limit(0))).count() == 0
+
+
+def test_edits_of_many_rows(spark):
+    """Edits stay with their row over slices of a batch; those without a start or length are none."""
+    own = lambda i: None if i % 5 == 0 else [(0, 1, f"new {i} "), (None, 1, "y"), (2, None, "z")][: i % 4]
+    df = spark.createDataFrame(
+        [(i, "a b c", own(i)) for i in range(1500)],
+        "doc_id long, text string, edits array<struct<start: bigint, length: bigint, replacement: string>>",
+    ).coalesce(1)
+    got = {r.doc_id: r.text for r in token_edits.edited_counts(token_edits.token_trees(df)).collect()}
+    assert got == {i: f"new {i}  b c" if own(i) else "a b c" for i in range(1500)}
