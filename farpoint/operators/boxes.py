@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from farpoint.functions.boxes import AXES, boxes_intersect, is_valid_box, regions_intersect
 from farpoint.operators.numbering import number_rows
 from farpoint.operators.skew import GROUP_ROWS, salted_join
-from farpoint.session import materialize
+from farpoint.session import materialize, release
 
 BOX = ["id", *AXES]
 
@@ -164,9 +164,10 @@ def kd_partition(boxes: DataFrame, cutoff: int, group_rows: int = 200_000) -> Da
     """Add ``leaf_id``: the median split path of the box, with at most ``cutoff`` boxes per leaf.
 
     Axes take turns (xMin, yMin, xMax, yMax); boxes up to the lower median of (coordinate, id) go
-    low. Cell sizes follow from the total, so no level has to count. While cells are larger than
-    ``group_rows`` each level is a distributed numbering; below that, cells fit one task and all
-    remaining levels are local sorts without a shuffle.
+    low. Cell sizes follow from the total, so no level has to count. While there are fewer cells than
+    shuffle partitions, or cells are larger than ``group_rows``, each level is a distributed numbering, whose copy
+    goes once the next one is written; below that, cells are spread over tasks and all remaining levels are
+    local sorts without a shuffle.
     """
     total = boxes.count()
     depth = 0
@@ -186,9 +187,12 @@ def kd_partition(boxes: DataFrame, cutoff: int, group_rows: int = 200_000) -> Da
             F.when(~split, F.col("_n")).when(high, F.col("_n") - low).otherwise(low).alias("_n"),
         )
 
-    level = 0
-    while level < depth and -(-total // (1 << level)) > group_rows:
-        ranked = number_rows(state, [AXES[level % 4], "id"], ["leaf_id"], seq="_rank", total="_size")
+    level, ranked = 0, None
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while level < depth and ((1 << level) < tasks or -(-total // (1 << level)) > group_rows):
+        above, ranked = ranked, number_rows(state, [AXES[level % 4], "id"], ["leaf_id"], seq="_rank", total="_size")
+        if above is not None:
+            release(above)
         state = descend(ranked)
         level += 1
     if level < depth:
@@ -215,11 +219,12 @@ def box_join_regions(
 
     A query visits the leaves whose region it intersects. Leaves hold at most ``cutoff`` boxes
     however the boxes are spread. The regions grow in number with the data, so they are matched by
-    :func:`box_join` and not broadcast.
+    :func:`box_join` and not broadcast. A leaf with very many visits is cut into chunks of them.
     """
     leaves = materialize(kd_partition(boxes.select(*BOX), cutoff, group_rows), "leaves")
     regions = leaf_regions(leaves).withColumnRenamed("leaf_id", "id")
     visits = box_join(queries.select(*BOX), regions, cell, match_same_id=True, carry=list(AXES))
-    visits = visits.select("id", F.col("hit").alias("leaf_id"), *AXES)
+    visits = materialize(visits.select("id", F.col("hit").alias("leaf_id"), *AXES), "visits")
     members = leaves.select(*[F.col(c).alias(f"b_{c}") for c in BOX], "leaf_id")
-    return visits.join(members.hint("merge"), "leaf_id").where(boxes_intersect()).select("id", F.col("b_id").alias("hit"))
+    met = salted_join(visits, members, ["leaf_id"], "id", "b_id")
+    return met.where(boxes_intersect()).select("id", F.col("b_id").alias("hit"))

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpoint.functions.boxes import boxes_intersect, less_than, more_than
-from farpoint.functions.distance import mixed_distance, within
+from farpoint.functions.distance import mixed_distance, vector_distance, within
 from farpoint.functions.status import expiry, total_of_map
 from farpoint.operators import boxes as bx
 from farpoint.operators import cells, clean, evidence, neighbors, numbering, pivots, ranges, windows
 from farpoint.operators.sweep import sweep
 from farpoint.plans import tables as t
+from farpoint.plans.boxes import search_job
 from farpoint.plans.sensor import sensor_outliers
 from farpoint.session import scratch_dir
 from farpoint.sources import boxes as box_source
@@ -230,6 +231,13 @@ def mixed_distances(spark, sf):
     )
 
 
+@query
+def vector_distances(spark, sf):
+    rows = t.vectors(spark, sf).select("vec_id", "embedding")
+    before = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b_embedding"))
+    return rows.join(before, "vec_id").select("vec_id", F.round(vector_distance("embedding", "b_embedding"), 5).alias("distance"))
+
+
 @query
 def range_join_mixed(spark, sf):
     points = t.order_points(spark, sf)
@@ -517,6 +525,34 @@ def box_order(spark, sf):
     )
 
 
+@query
+def super_keys(spark, sf):
+    top = t.order_boxes(spark, sf).select(*bx.BOX)
+    pivot = numbering.first_row(top, ["yMax", "id"]).select(F.struct(*[F.col(c).alias(f"b_{c}") for c in bx.BOX]).alias("b"))
+    marked = top.withColumn("b", pivot.scalar()).select(*bx.BOX, "b.*")
+    less = [less_than(a).alias(f"{a}_less") for a in bx.AXES]
+    return marked.select("id", *less, *[more_than(a).alias(f"{a}_more") for a in bx.AXES])
+
+
+def _box_file(spark: SparkSession, sf: str) -> str:
+    """Boxes as text, one line each in order of id."""
+    path = _out(spark, "boxes")
+    ordered = t.order_boxes(spark, sf).repartitionByRange("id").sortWithinPartitions("id")
+    ordered.select(F.concat_ws("\t", *bx.AXES).alias("value")).write.text(path)
+    return path
+
+
+@query
+def box_file_ids(spark, sf):
+    return box_source.read_boxes(spark, _box_file(spark, sf))
+
+
+@query
+def box_job(spark, sf):
+    found = search_job(spark, _box_file(spark, sf), LEAF_CUTOFF)
+    return found.select("id", F.array_join("hits", ",").alias("hits"))
+
+
 @query
 def boxes_from_file(spark, sf):
     path = _out(spark, "boxes")

@@ -333,4 +333,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_outliers_by_key": keyed,
     }
     sql["boxes_from_file"] = sql["extent"]
+    keys = ", ".join(f'(a."{c}", a.id) {sign} (b."{c}", b.id) AS "{c}_{word}"'
+                     for sign, word in (("<", "less"), (">", "more")) for c in ("xMin", "yMin", "xMax", "yMax"))
+    sql["super_keys"] = _orders_boxes() + f"""SELECT a.id, {keys} FROM b a, (SELECT * FROM b ORDER BY "yMax", id LIMIT 1) b"""
+    lines = _orders_boxes().replace("WITH b AS", "WITH o AS") + """, b AS (
+        SELECT row_number() OVER (ORDER BY id) - 1 AS id, "xMin", "yMin", "xMax", "yMax" FROM o)"""
+    sql["box_file_ids"] = lines + " SELECT * FROM b"
+    sql["box_job"] = lines + f", {hits} SELECT id, hits FROM g"
+    sql["vector_distances"] = """SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS distance
+        FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1"""
     return sql
