@@ -34,15 +34,25 @@ def fingerprint(raw: bytes, width: int, words: int = 1) -> list[int]:
     set if it is set in over half of the shingle hashes. Further fingerprint words come from a
     bijective mix of the same hashes.
     """
+    hashes = shingle_hashes(raw, width)
+    return bit_majority(hashes, words) if len(hashes) else [0] * words
+
+
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """Hash of each shingle of a text, as often as it occurs; none for a text without words."""
     tokens = raw.lower().split()
     if not tokens:
-        return [0] * words
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     ends = list(accumulate(len(t) + 1 for t in tokens))
     starts = [0, *ends[:-1]]
     spans = zip(starts, (e - 1 for e in ends[width - 1 :])) if len(tokens) >= width else [(0, len(joined))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def bit_majority(hashes: np.ndarray, words: int) -> list[int]:
+    """Fingerprint words of shingle hashes: the bits that over half of them have."""
     found = []
     for word in range(words):
         h = hashes if word == 0 else _mixed(hashes, word)
