@@ -13,6 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from farpoint.functions.status import OUTLIER, SAFE, UNSAFE
 from farpoint.specs import Attr, OutlierParams, WindowSpec, used_attrs
 
+# Status of a row that came after a later one of its key; it is in no window.
+LATE = "Late"
+
 
 def _near(points: dict[str, np.ndarray], attrs: list[Attr], radius: float) -> np.ndarray:
     """Matrix of the pairs within the radius among the points of one window."""
@@ -38,7 +41,8 @@ def stream_outliers_keyed(
     """Status of every point in every full window of its key, as soon as the window is complete.
 
     State is the last window of points per key, so it is bounded by the width. Rows are ordered
-    inside a micro-batch; rows older than the last one of their key are skipped. One key is handled
+    inside a micro-batch; a row not after the last one of its key from earlier batches is returned once with the status
+    ``LATE`` and no window, number or counts. One key is handled
     by one task, so use this for many keys. For a few large keys use ``StreamJob``, which splits a
     key over tasks.
     """
@@ -84,7 +88,14 @@ def stream_outliers_keyed(
         new = pd.concat([b[kept] for b in batches], ignore_index=True).sort_values(list(order), ignore_index=True)
         if len(old):
             last = tuple(old[list(order)].iloc[-1])
-            new = new[[tuple(r) > last for r in new[list(order)].itertuples(index=False)]]
+            after = np.array([tuple(r) > last for r in new[list(order)].itertuples(index=False)], dtype=bool)
+            late, new = new[~after], new[after]
+            if len(late):
+                nothing = lambda: np.full(len(late), None, dtype=object)
+                yield pd.DataFrame(
+                    {key: [group[0]] * len(late), "window_id": nothing(), "seq": nothing(), **{c: late[c].to_numpy() for c in identity},
+                     "succ": nothing(), "prev": nothing(), "status": LATE}
+                )
         points = pd.concat([old, new], ignore_index=True) if len(old) else new.reset_index(drop=True)
         first = total - len(old) + 1
         new_total = total + len(new)
