@@ -124,17 +124,19 @@ def _numbers(text: Column, key: str, tag: str, kept: str = "") -> Column:
     return F.concat(head, _let(F.substr(text, F.length(head) + 1, F.length(text)), rest))
 
 
-def _card(text: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last is as far from the Luhn digit as it was.
+def _luhn_valid(text: Column) -> Column:
+    """Whether the last digit is the check digit of the others."""
+    ends = lambda d: luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1)).cast("int")
+    return _let(F.regexp_replace(text, "[^0-9]", ""), ends)
 
-    So valid numbers stay valid and invalid ones invalid, and the whole is a permutation.
-    """
+
+def _card(text: Column, key: str) -> Column:
+    """All digits of a valid number but the last are permuted; the last is the Luhn digit of the new ones."""
 
     def whole(digits: Column) -> Column:
         body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-        off = F.substr(digits, F.length(digits), F.lit(1)).cast("int") - luhn_digit(body)
         new = _feistel_text(body, _alphabets(DIGITS), key, "card")
-        return _let(new, lambda b: F.concat(b, F.pmod(luhn_digit(b) + off, F.lit(10)).cast("string")))
+        return _let(new, lambda b: F.concat(b, luhn_digit(b).cast("string")))
 
     return _let(F.regexp_replace(text, "[^0-9]", ""), lambda d: _let(whole(d), lambda n: _keep_marks(text, n)))
 
@@ -181,9 +183,21 @@ def _date(text: Column, key: str) -> Column:
     return chosen
 
 
+def _is(found: Column, kind: str) -> Column:
+    return found.rlike(f"^(?:{PATTERNS[kind]})$")
+
+
+def valid(found: Column) -> Column:
+    """Whether a text that one of the patterns matches is a private value: dates exist, account numbers have their Luhn digit."""
+    exists = F.lit(False)
+    for start, form in DATE_FORMS.items():
+        exists = F.when(found.rlike(start), F.try_to_timestamp(found, F.lit(form)).isNotNull()).otherwise(exists)
+    return F.when(_is(found, "date"), exists).when(_is(found, "card"), _luhn_valid(found)).otherwise(True)
+
+
 def pseudonym(found: Column, key: str) -> Column:
-    """Pseudonym of a text that one of the patterns matches."""
-    whole = lambda kind: found.rlike(f"^(?:{PATTERNS[kind]})$")
+    """Pseudonym of a private value that one of the patterns matches."""
+    whole = lambda kind: _is(found, kind)
     return (
         F.when(F.contains(found, F.lit("@")), _email(found, key))
         .when(whole("secret"), _secret(found, key))
@@ -201,15 +215,15 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, fo
     E-mail addresses, hexadecimal secrets, IPv4 addresses, dates, telephone, social security and account numbers
     are checked by form (bytes, calendar, Luhn digit) and permuted within it by a keyed Feistel network, so equal
     values have equal pseudonyms in all documents, and different ones of a form different pseudonyms. All other text
-    stays byte for byte. NULL text stays NULL with 0 found; empty and very long texts, repeated rows
+    stays byte for byte and is not counted, dates that don't exist and numbers without their Luhn digit included. NULL text stays NULL with 0 found; empty and very long texts, repeated rows
     and ties need no care, as each row is worked out alone. A column called like ``found`` is
     replaced; others pass through. An empty table gives an empty table.
     """
     value = F.col(f"`{text}`")
     matches = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-    new = F.transform(matches, lambda m: pseudonym(m, key))
+    new = F.transform(matches, lambda m: F.when(valid(m), pseudonym(m, key)).otherwise(m))
     joined = F.zip_with(F.split(value, ANY), new, lambda part, m: F.concat(F.coalesce(part, F.lit("")), F.coalesce(m, F.lit(""))))
     searched = value.rlike("[0-9@]")
     rewritten = F.when(searched, F.array_join(joined, "")).otherwise(value)
-    count = F.when(searched, F.size(matches)).otherwise(0).cast("int")
+    count = F.when(searched, F.size(F.filter(matches, valid))).otherwise(0).cast("int")
     return docs.select(*[(rewritten if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != found], count.alias(found))
