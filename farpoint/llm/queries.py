@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farpoint.llm import (
+    alignment,
     collision_ann,
     line_dedup,
     mixing,
@@ -145,3 +146,8 @@ SELECT conv_id, assistant, part, string_agg(r, '' ORDER BY b) AS rendered, count
        coalesce(list(CAST(b + length(r) AS BIGINT) ORDER BY b) FILTER (s = assistant), []) AS mask_ends
 FROM spans GROUP BY conv_id, assistant, part
 """
+
+
+@query
+def op11_tokenizer_alignment(spark, sf):
+    return alignment.align_documents(table(spark, sf, "documents"))
