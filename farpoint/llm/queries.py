@@ -19,6 +19,7 @@ from farpoint.llm import (
     simhash,
     sorted_passes,
     token_edits,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +152,26 @@ FROM spans GROUP BY conv_id, assistant, part
 @query
 def op11_tokenizer_alignment(spark, sf):
     return alignment.align_documents(table(spark, sf, "documents"))
+
+
+@query
+def op12_warc_salvage(spark, sf):
+    archives = warc.write_archives(table(spark, sf, "pages"))
+    pages = warc.records(warc.read_archives(archives, payloads=False)).where("record_type IN ('response', 'revisit')")
+    return pages.select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to")
+    )
+
+
+ORACLES["op12_warc_salvage"] = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (SELECT h, min(page_id) AS first FROM hashed GROUP BY h)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+         (((instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+           + instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1) >> CAST(3 - 5 * i % 4 AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed JOIN firsts USING (h)
+"""
