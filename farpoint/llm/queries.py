@@ -16,6 +16,7 @@ from farpoint.llm import (
     perspectives,
     pseudonyms,
     quality,
+    repair,
     simhash,
     sorted_passes,
     token_edits,
@@ -175,3 +176,9 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM hashed JOIN firsts USING (h)
 """
+
+
+@query
+def op13_conversation_repair(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return repair.with_all_conversations(repair.repair_conversations(repair.damage(conversations)), conversations)
