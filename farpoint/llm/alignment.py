@@ -19,6 +19,7 @@ import hashlib
 import itertools
 import os
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farpoint.llm.tokens import REMEMBERED, tokenizer_path
+from farpoint.llm.tokens import tokenizer_path
 from farpoint.session import materialize
 
 # Bytes of text that share a table of words and pairs.
 BLOCK_BYTES = 8 << 20
+# Words that a task remembers beside those of its block, some hundred bytes each.
+REMEMBERED = 250_000
 # Longer words are aligned where they occur and not remembered.
 LONG_WORD = 64
 # Rows of one text are dealt over this many keys when its measures go back to the documents (bits of a long).
@@ -94,8 +97,7 @@ class WordAligner:
         """Per word: tokens of both sides, groups, the groups as text (None if bytes differ), pairs of its links."""
         missing = [w for w in words if w not in self.known]
         if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = words
+            self.known = {w: self.known[w] for w in words if w in self.known}
         found: dict[str, tuple] = {}
         for start in range(0, len(missing), 2000):
             some = missing[start : start + 2000]
@@ -110,19 +112,24 @@ class WordAligner:
         left, right = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
         if b"".join(left) != raw or b"".join(right) != raw:
             return 0, 0, 0, None, b""
-        groups, links = [], []
-        i = j = first_a = first_b = end_a = end_b = 0
+        ends_a, ends_b = list(itertools.accumulate(map(len, left))), list(itertools.accumulate(map(len, right)))
+        groups, links = [], array("q")
+        i = j = first_a = first_b = 0
         while i < len(ids_a):
             links.append(ids_a[i] << 32 | ids_b[j])
-            until_a, until_b = end_a + len(left[i]), end_b + len(right[j])
-            if until_a <= until_b:
-                i, end_a = i + 1, until_a
-            if until_b <= until_a:
-                j, end_b = j + 1, until_b
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
+            until_a, until_b = ends_a[i], ends_b[j]
+            if until_a < until_b:
+                i += 1
+            elif until_b < until_a:
+                j += 1
+            else:
+                i, j = i + 1, j + 1
+                if i - first_a == 1 == j - first_b:
+                    groups.append(f"{ids_a[first_a]}|{ids_b[first_b]}")
+                else:
+                    groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
                 first_a, first_b = i, j
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, dtype="<i8").tobytes()
+        return len(ids_a), len(ids_b), len(groups), ";".join(groups), links.tobytes()
 
 
 @lru_cache(maxsize=2)
