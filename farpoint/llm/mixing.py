@@ -58,18 +58,18 @@ def water_fill(weighted: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of documents of different sizes those that come near the gap, the largest that fits first."""
+    """How many documents of each size come near the gap: as many as fit, the largest first, and one that is a little too large if nearer."""
     pdf = pdf.sort_values("_size", ascending=False)
-    gap, chosen, above = float(pdf["_gap"].iloc[0]), [], None
-    for size, place in zip(pdf["_size"].tolist(), pdf["_sum"].tolist()):
-        if size <= gap:
-            gap -= size
-            chosen.append(place)
-        else:
-            above = (size, place)
-    if above and above[0] - gap < gap:
-        chosen.append(above[1])
-    return pd.DataFrame({"_source": [pdf["_source"].iloc[0]] * len(chosen), "_chosen": pd.Series(chosen, dtype="int64")})
+    gap, taken, above = float(pdf["_gap"].iloc[0]), {}, None
+    for size, n in zip(pdf["_size"].tolist(), pdf["_n"].tolist()):
+        fit = min(n, int(gap // size))
+        gap -= fit * size
+        taken[size] = fit
+        if fit < n:
+            above = size
+    if above and above - gap < gap:
+        taken[above] += 1
+    return pd.DataFrame({"_source": [pdf["_source"].iloc[0]] * len(taken), "_of": pd.Series(taken.keys(), dtype="int64"), "_take": pd.Series(taken.values(), dtype="int64")})
 
 
 def mix_sources(
@@ -85,10 +85,10 @@ def mix_sources(
     """One row per document: its id, source, ``_size`` in words, ``_source_size``, ``_target`` of its source and ``_copies``.
 
     A source whose target is e times its size takes every document floor(e) times. The rest is made up
-    of documents in seeded hash order as long as they fit. What is then missing is filled by at most one
-    document of each size, the largest that fits first, and by one that is a little too large if that is
-    nearer than none. Sums in hash order are distributed, so a source of any size spreads over many
-    tasks; a task of the filling sees distinct sizes only. Reruns agree. NULL is a source of its own and
+    of documents in seeded hash order as long as they fit. What is then missing is filled by further documents,
+    the largest sizes that fit first and in hash order within a size, and by one that is a little too large if that is
+    nearer than none; the smallest document that is left would then come no nearer. Sums and numbers in hash order are
+    distributed, so a source of any size spreads over many tasks; a task of the filling sees distinct sizes only. Reruns agree. NULL is a source of its own and
     sorts last; NULL text has size 0; a document without words is taken as the whole repetitions say. Rows that
     share an id are documents of their own. An empty table gives an empty table. ``carry`` columns are kept.
     """
@@ -110,12 +110,16 @@ def mix_sources(
     fits = F.col("_sum") <= F.col("_rest")
     reached = summed.where(fits).groupBy("_source").agg(F.max("_sum").alias("_reached"))
     gaps = with_source(targets.select("_source", "_rest"), reached, "_reached")
-    gaps = gaps.select("_source", (F.col("_rest") - F.coalesce("_reached", F.lit(0))).alias("_gap"))
+    gaps = materialize(gaps.select("_source", (F.col("_rest") - F.coalesce("_reached", F.lit(0))).alias("_gap")), "gaps")
     others = with_source(summed.where(~fits & (F.col("_size") > 0)), gaps, "_gap").where("_size < 2 * _gap")
-    sizes = others.groupBy("_source", "_size").agg(F.min("_sum").alias("_sum"), F.first("_gap").alias("_gap"))
-    filled = sizes.groupBy("_source").applyInPandas(_fill, f"_source {dict(sized.dtypes)['_source']}, _chosen bigint")
+    others = number_rows(others.select("_source", "_size", "_sum", "_gap"), ["_sum"], ["_source", "_size"], "_nth", "_n")
+    sizes = others.groupBy("_source", "_size").agg(F.max("_n").alias("_n"), F.first("_gap").alias("_gap"))
+    filled = sizes.groupBy("_source").applyInPandas(_fill, f"_source {dict(sized.dtypes)['_source']}, _of bigint, _take bigint")
+    filled = materialize(filled, "filled")
+    same = F.col("d._source").eqNullSafe(F.col("c._source")) & (F.col("d._size") == F.col("c._of")) & (F.col("d._nth") <= F.col("c._take"))
+    chosen = others.alias("d").join(filled.alias("c"), same).select("d._source", F.col("d._sum").alias("_chosen"))
     same = F.col("d._source").eqNullSafe(F.col("c._source")) & (F.col("d._sum") == F.col("c._chosen")) & (F.col("d._size") > 0)
-    chosen = summed.alias("d").join(filled.alias("c"), same, "left").select("d.*", "c._chosen")
+    chosen = summed.alias("d").join(chosen.alias("c"), same, "left").select("d.*", "c._chosen")
     extra = fits | F.col("_chosen").isNotNull()
     copies = (F.col("_whole") + F.when(extra & (F.col("_rest") > 0), 1).otherwise(0)).cast("bigint")
     named = [F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)]
