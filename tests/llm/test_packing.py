@@ -15,7 +15,6 @@ FOLDER = "/root/testdata/sf0.001"
 
 def check(rows, got, capacity):
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     expected = []
     for doc, text in rows:
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
@@ -54,7 +53,7 @@ def test_small_groups(spark):
 
 
 def test_edge_rows(spark):
-    rows = [(1, None), (1, None), (2, ""), (None, "a b"), (3, "w " * 9000), (4, " \n"), (5, "same"), (6, "same")]
+    rows = [(1, None), (1, None), (2, ""), (None, "a b"), (3, "w " * 9000), (4, " \n"), (8, "hello <|endoftext|> x <|EndOfText|>"), (5, "same"), (6, "same")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int")
     check(rows, packing.pack_documents(df, capacity=64).select(*COLUMNS).collect(), 64)
     assert packing.pack_documents(df.limit(0)).count() == 0
@@ -62,12 +61,11 @@ def test_edge_rows(spark):
 
 def test_encoder_equals_whole_text():
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     own = WordEncoder(tokenizer_path())
     texts = [
         "It's they'll'd 'S we''re. don\u2019t, ...",
         "H\u0331 \u0130stanbul I\u0307 \u1e9e \u03a3\u03a3 A\u030a \u212b caf\u00e9s, caf\u00e9. \u5317\u4eac 12,345.6 x\u00a0y\u2003z",
-        "a\x1cb\x85c <|endoftext|> <|startoftext|>x \ud55c\uae00 \u1112\u1161\u11ab \U0001f600\U0001f600!",
+        "a\x1cb\x85c <|endoftext|> <|startoftext|>x <|ENDOFTEXT|> y<|endoftext|>z \ud55c\uae00 \u1112\u1161\u11ab \U0001f600\U0001f600!",
         "\u0e01\u0e33 \u0915\u094d\u0937 \u00b2\u2163 _a_b Zz.\tEnd,",
     ]
     for text in texts * 2:

@@ -9,10 +9,10 @@ from pyspark.sql import Row
 
 import corpus_pipeline
 from farpoint.llm.queries import table
-from farpoint.llm.simhash import fingerprint
 from tests.llm.test_line_dedup import plain
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_packing import check
+from tests.llm.test_shingle_sets import plain_classes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,17 +53,10 @@ def test_lines(steps):
 
 def test_near_copies(steps):
     before, after = steps[2]
-    words = [fingerprint((r.text or "").encode(), corpus_pipeline.SHINGLE, corpus_pipeline.PRINT_WORDS) for r in before]
-    unsigned = np.array(words, dtype=np.int64).view(np.uint64)
-    unlike = np.bitwise_count(unsigned[:, None] ^ unsigned[None]).sum(axis=2)
-    ids, near = [r.doc_id for r in before], unlike <= corpus_pipeline.MOST_BITS
-    root = list(range(len(ids)))
-    changed = True
-    while changed:
-        least = [min(root[j] for j in np.nonzero(near[i])[0]) for i in range(len(ids))]
-        changed, root = least != root, least
-    first = {c: min(i for i, x in zip(ids, root) if x == c) for c in set(root)}
-    expected = [r for r, c in zip(before, root) if first[c] == r.doc_id]
+    classes = plain_classes([(r.doc_id, r.text) for r in before])
+    first = {c: min(i for i, x in classes.items() if x == c) for c in set(classes.values())}
+    expected = [r for r in before if first[classes[r.doc_id]] == r.doc_id]
+    assert len({r.doc_id for r in before}) == len(before)
     assert Counter(map(tuple, after)) == Counter(map(tuple, expected)) and len(after) < len(before)
 
 

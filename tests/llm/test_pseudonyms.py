@@ -15,6 +15,15 @@ def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def valid_cards(n, first):
+    """Numbers of 16 digits that pass the check of their last digit."""
+    found, body = [], first
+    while len(found) < n:
+        found += [v for d in range(10) if luhn(v := f"{body}{d}")]
+        body += 7919
+    return found
+
+
 def new_values(spark, values, key="k"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, text string")
     got = {r.i: r for r in pseudonyms.pseudonymise(df, key=key).collect()}
@@ -24,8 +33,8 @@ def new_values(spark, values, key="k"):
 @pytest.mark.parametrize(
     ("make", "form"),
     [
-        (lambda i: f"{4000000000000000 + i * 7919}", r"\d{16}"),
-        (lambda i: f"4000 {i:04d} 1234 5678", r"\d{4} \d{4} \d{4} \d{4}"),
+        (lambda i: valid_cards(200, 400000000000000)[i], r"\d{16}"),
+        (lambda i: " ".join(re.findall("....", valid_cards(200, 500000000000000)[i])), r"\d{4} \d{4} \d{4} \d{4}"),
         (lambda i: f"+1 (017) 555-{i:04d}", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
         (lambda i: f"{100 + i}-12-3456", r"\d{3}-\d{2}-\d{4}"),
         (lambda i: f"10.0.{i % 256}.7", r"(?:\d{1,3}\.){3}\d{1,3}"),
@@ -42,7 +51,7 @@ def test_forms(spark, make, form):
     assert len(set(new)) == 200 and sum(a == b for a, b in zip(old, new)) <= 1
     assert new != new_values(spark, old, key="other")[0]
     if form == r"\d{16}":
-        assert [luhn(a) for a in old] == [luhn(b) for b in new] and any(map(luhn, old))
+        assert all(map(luhn, old)) and all(map(luhn, new))
 
 
 def test_same_value_in_other_writing_stays_linked(spark):
@@ -54,7 +63,7 @@ def test_same_value_in_other_writing_stays_linked(spark):
 def test_other_text_stays(spark):
     same = [None, "", "no such thing", "1.2.3", "999.1.1.1", "2001-02-30", "2001-13-01", "version 4.0.", "a @ b", "x" * 300_000, "12345", "\u00e9 1 2 3 @"]
     new, count = new_values(spark, same)
-    assert new == same and count == [0 if v != "2001-02-30" else 1 for v in same]
+    assert new == same and count == [0] * len(same)
     mixed = "A\n 1.2.3.4. B\u00e9, (x@y.org) \U0001f600 4111111111111111!!\t2020-01-31"
     new, count = new_values(spark, [mixed, mixed])
     assert new[0] == new[1] and count == [4, 4]
@@ -66,7 +75,7 @@ def test_planted_values_are_gone(spark):
     old = {r.doc_id: r.text for r in table(spark, FOLDER, "documents").collect()}
     total = 0
     for r in QUERIES["op3_pii_pseudonyms"](spark, FOLDER).collect():
-        found = re.findall(kinds, old[r.doc_id])
+        found = [v for v in re.findall(kinds, old[r.doc_id]) if not re.fullmatch(r"\d{16}", v) or luhn(v)]
         total += len(found)
         assert not [v for v in found if v in r.text] and len(r.text) >= len(old[r.doc_id]) - 20 * len(found)
         if not found:
