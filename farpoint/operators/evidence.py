@@ -20,7 +20,10 @@ ORDERED_SLIDE = 4096
 
 @dataclass(frozen=True)
 class SlideCounts:
-    """Neighbours of each point per slide; ``n`` counts the point itself in its own slide."""
+    """Neighbours of each point per slide; ``_near`` counts the point itself in its own slide.
+
+    Columns of its own are prefixed, so that identity columns may have any other name.
+    """
 
     df: DataFrame
     place: list[str]
@@ -29,7 +32,7 @@ class SlideCounts:
 
 def _count_slides(pairs: BlockPairs) -> SlideCounts:
     return SlideCounts(
-        pairs.df.groupBy(*pairs.point, "nb_slide").agg(F.count("*").alias("n")), pairs.place, pairs.point
+        pairs.df.groupBy(*pairs.point, "nb_slide").agg(F.count("*").alias("_near")), pairs.place, pairs.point
     )
 
 
@@ -67,7 +70,7 @@ def window_evidence(
     """Neighbours of each point in each slide it can share a window with, itself excluded."""
     own = (F.col("nb_slide") == F.col("slide_id")).cast("bigint")
     counts = slide_counts(numbered, spec, attrs, radius, key).df
-    return counts.select(*key, "seq", "slide_id", "nb_slide", (F.col("n") - own).alias("n")).where("n > 0")
+    return counts.select(*key, "seq", "slide_id", "nb_slide", (F.col("_near") - own).alias("n")).where("n > 0")
 
 
 def _changes(panes: Column) -> Column:
@@ -77,11 +80,11 @@ def _changes(panes: Column) -> Column:
     and leaves when the window has moved on by ``panes``. The own slide yields one row per window,
     so that windows without any change are there as well.
     """
-    d, n = F.col("nb_slide") - F.col("slide_id"), F.col("n")
+    d, n = F.col("nb_slide") - F.col("slide_id"), F.col("_near")
     zero = F.lit(0).cast("bigint")
 
     def change(step: Column, succ: Column, prev: Column) -> Column:
-        return F.struct(step.cast("bigint").alias("step"), succ.alias("ds"), prev.alias("dp"))
+        return F.struct(step.cast("bigint").alias("step"), succ.alias("succ"), prev.alias("prev"))
 
     own = F.transform(
         F.sequence(zero, panes.cast("bigint") - 1),
@@ -107,17 +110,17 @@ def counts_per_window(
     point = [*counts.point, *extra]
     panes = F.lit(spec.panes) if panes is None else panes
     steps = (
-        counts.df.select(*point, _changes(panes).alias("c"))
-        .groupBy(*point, F.col("c.step").alias("step"))
-        .agg(F.sum("c.ds").alias("ds"), F.sum("c.dp").alias("dp"))
+        counts.df.select(*point, _changes(panes).alias("_c"))
+        .groupBy(*point, F.col("_c.step").alias("_step"))
+        .agg(F.sum("_c.succ").alias("_ds"), F.sum("_c.prev").alias("_dp"))
     )
     so_far = (
         Window.partitionBy(*dict.fromkeys([*counts.place, "seq", *extra]))
-        .orderBy("step")
+        .orderBy("_step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = steps.withColumn("succ", F.sum("ds").over(so_far)).withColumn("prev", F.sum("dp").over(so_far))
-    window_id = F.col("slide_id") + F.col("step")
+    summed = steps.withColumn("succ", F.sum("_ds").over(so_far)).withColumn("prev", F.sum("_dp").over(so_far))
+    window_id = F.col("slide_id") + F.col("_step")
     return summed.withColumn("window_id", window_id).where(
         (F.col("window_id") >= panes - 1) & (F.col("window_id") < full_slides(spec))
     )
@@ -181,60 +184,79 @@ def observed(status: DataFrame, name: str = "window_metrics") -> DataFrame:
     )
 
 
-def _evidence_walk(
-    numbered: DataFrame, spec: WindowSpec, attrs: list[Attr], params: OutlierParams, key: Sequence[str]
+def _at_most(sorted_values: Column, x: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending values are not above ``x``, by bisection."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length()))])
+
+    def further(at: Column, step: Column) -> Column:
+        fits = F.coalesce(F.get(sorted_values, at + step - 1) <= x, F.lit(False))
+        return F.when(fits, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def _undecided(
+    numbered: DataFrame, spec: WindowSpec, attrs: list[Attr], params: OutlierParams, key: Sequence[str], shown
 ) -> DataFrame:
-    """Earlier slides of points that are not Safe, newest first, until ``k`` neighbours are found."""
+    """Windows of points that are not Safe, with what ``shown`` makes of the evidence, for points that have any.
+
+    A point's counts per slide become two arrays, slides and running sums. In each window its counts are differences of
+    sums, and the slide where the walk from the newest earlier slide back reaches ``k`` is found by bisection, so a window costs a
+    logarithm of its slides. ``shown`` gets slides, sums before and after each, and the places from where to where they count.
+    """
     counts = slide_counts(numbered, spec, attrs, params.radius, key)
-    n_type = "bigint"
-    profile = counts.df.groupBy(*counts.point).agg(F.collect_list(F.struct("nb_slide", "n")).alias("slides"))
-    windows = profile.withColumn("window_id", F.explode(window_ids(spec)))
-    later = F.filter("slides", lambda s: (s.nb_slide >= F.col("slide_id")) & (s.nb_slide <= F.col("window_id")))
-    earlier = F.filter(
-        "slides", lambda s: (s.nb_slide < F.col("slide_id")) & (s.nb_slide > F.col("window_id") - spec.panes)
-    )
-    total = lambda slides: F.aggregate(slides, F.lit(0).cast(n_type), lambda acc, s: acc + s.n)
-    place = list(dict.fromkeys([*counts.place, "window_id", "seq"]))
-    walked = (
-        windows.select(*place, (total(later) - 1).alias("succ"), earlier.alias("earlier"))
-        .where(F.col("succ") < params.k)
-        .withColumn("prev", total(F.col("earlier")))
-        .withColumn("e", F.explode("earlier"))
-        .select(*place, "succ", "prev", F.col("e.nb_slide").alias("nb_slide"), F.col("e.n").alias("n"))
-    )
-    newest_first = (
-        Window.partitionBy(*place)
-        .orderBy(F.col("nb_slide").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = F.col("succ") + F.sum("n").over(newest_first)
-    return (
-        walked.withColumn("found", found)
-        .where(F.col("found") - F.col("n") < params.k)
-        .withColumn("status", classify("succ", "prev", params.k))
-    )
+    in_order = Window.partitionBy(*dict.fromkeys([*counts.place, "seq"])).orderBy("nb_slide")
+    summed = counts.df.withColumn("_sum", F.sum("_near").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    arrays = summed.groupBy(*counts.point).agg(F.array_sort(F.collect_list(F.struct("nb_slide", "_sum"))).alias("_s"))
+    profile = arrays.select(*counts.point, F.col("_s.nb_slide").alias("_slides"), F.col("_s._sum").alias("_sums"))
+    slides, sums, most = F.col("_slides"), F.col("_sums"), 2 * spec.panes
+    up_to = lambda at: F.coalesce(F.get(sums, at - 1), F.lit(0).cast("bigint"))
+    profile = profile.withColumn("_own", _at_most(slides, F.col("slide_id") - 1, most)).withColumn("_before", up_to(F.col("_own")))
+    own, before = F.col("_own"), F.col("_before")
+
+    def in_window(w: Column) -> Column:
+        succ = up_to(_at_most(slides, w, most)) - before - 1
+        first = _at_most(slides, w - spec.panes, most)
+        stop = F.greatest(_at_most(sums, succ + before - params.k, most), first)
+        prev = before - up_to(first)
+        return F.struct(w.alias("window_id"), succ.alias("succ"), prev.alias("prev"), stop.alias("stop"))
+
+    windows = F.filter(F.transform(window_ids(spec), in_window), lambda v: (v.succ < params.k) & (v.stop < own))
+    made = F.transform(windows, lambda v: F.struct(v.window_id.alias("window_id"), classify(v.succ, v.prev, params.k).alias("status"), shown(v, slides, up_to, own, before).alias("shown")))
+    return profile.select(*key, "seq", F.explode(made).alias("_w")).select(*key, "seq", "_w.*")
 
 
 def minimal_evidence(
     numbered: DataFrame, spec: WindowSpec, attrs: list[Attr], params: OutlierParams, key: Sequence[str] = ()
 ) -> DataFrame:
     """Slides that suffice to decide a point that is not Safe, with the count reached after each."""
-    walk = _evidence_walk(numbered, spec, attrs, params, key)
-    return walk.select(*key, "window_id", "seq", "nb_slide", "n", "found", "status")
+
+    def walked(v: Column, slides: Column, up_to, own: Column, before: Column) -> Column:
+        places = F.sequence(v.stop, own - 1)
+        return F.transform(
+            places,
+            lambda i: F.struct(
+                F.get(slides, i).alias("nb_slide"), (up_to(i + 1) - up_to(i)).alias("n"), (v.succ + before - up_to(i)).alias("found")
+            ),
+        )
+
+    walks = _undecided(numbered, spec, attrs, params, key, walked).withColumn("_e", F.explode("shown"))
+    return walks.select(*key, "window_id", "seq", "_e.nb_slide", "_e.n", "_e.found", "status")
 
 
 def trigger_slide(
     numbered: DataFrame, spec: WindowSpec, attrs: list[Attr], params: OutlierParams, key: Sequence[str] = ()
 ) -> DataFrame:
     """For Unsafe points the oldest slide used as evidence: its expiry calls for a new check."""
-    walk = _evidence_walk(numbered, spec, attrs, params, key).where(F.col("status") == UNSAFE)
-    return walk.groupBy(*key, "window_id", "seq").agg(F.min("nb_slide").alias("trigger_slide"))
+    stops = _undecided(numbered, spec, attrs, params, key, lambda v, slides, up_to, own, before: F.get(slides, v.stop))
+    return stops.where(F.col("status") == UNSAFE).select(*key, "window_id", "seq", F.col("shown").alias("trigger_slide"))
 
 
 def due_checks(triggers: DataFrame, expired: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Points to check again because a slide of ``expired`` (column ``slide_id``) served as evidence."""
     due = triggers.select(*key, F.col("trigger_slide").alias("slide_id"), "seq").distinct()
-    return due.join(expired.select(*key, "slide_id"), [*key, "slide_id"], "left_semi")
+    same = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"x.`{c}`")) for c in [*key, "slide_id"]]
+    return due.alias("d").join(expired.select(*key, "slide_id").alias("x"), same, "left_semi")
 
 
 def _arrival_pairs(
@@ -273,6 +295,39 @@ def next_check(
     )
 
 
+def check_schedule(
+    numbered: DataFrame, width: int, attrs: list[Attr], params: OutlierParams, key: Sequence[str] = ()
+) -> DataFrame:
+    """All checks of each point in the window of the last ``width`` points, and the status each finds.
+
+    A point is checked when it arrives. If its neighbours suffice, the next check is due when the (k - succ)-th youngest
+    earlier neighbour expires, for then enough later ones must have come. Checks end with Safe, Outlier or the stream. Between two checks
+    ``succ`` must have grown, so there are at most k + 1 of them, and the k youngest earlier and the k first later neighbours
+    decide all.
+    """
+    k = params.k
+    pairs = _arrival_pairs(numbered, width, attrs, params.radius, key)
+    some = lambda column, newest: F.slice(F.sort_array(F.collect_list(column), asc=not newest), 1, k)
+    seq, nb = F.col("seq"), F.col("nb_seq")
+    lists = pairs.df.groupBy(*pairs.point).agg(
+        some(F.when(nb < seq, nb), True).alias("_earlier"), some(F.when(nb > seq, nb), False).alias("_later")
+    )
+
+    def check(at: Column) -> Column:
+        succ = F.size(F.filter("_later", lambda x: x <= at))
+        deciding = F.get("_earlier", F.lit(k - 1) - succ)
+        enough = F.coalesce(deciding > at - width, F.lit(False))
+        status = F.when(succ >= k, SAFE).when(enough, UNSAFE).otherwise(OUTLIER)
+        return F.struct(at.alias("check_seq"), status.alias("status"), F.when(enough & (succ < k), deciding + width).alias("next"))
+
+    def following(checks: Column, _: Column) -> Column:
+        due = F.element_at(checks, -1).next
+        return F.when(due <= F.col("stream_rows"), F.concat(checks, F.array(check(due)))).otherwise(checks)
+
+    checks = F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array(check(seq)), following)).alias("_c")
+    return lists.select(*key, "seq", checks).select(*key, "seq", "_c.check_seq", "_c.status")
+
+
 def status_timeline(
     numbered: DataFrame, width: int, attrs: list[Attr], params: OutlierParams, key: Sequence[str] = ()
 ) -> DataFrame:
@@ -286,7 +341,7 @@ def status_timeline(
 
     def event(at: Column, succ: int, prev: int) -> Column:
         return F.struct(
-            at.alias("at_seq"), F.lit(succ).cast("bigint").alias("ds"), F.lit(prev).cast("bigint").alias("dp")
+            at.alias("at_seq"), F.lit(succ).cast("bigint").alias("succ"), F.lit(prev).cast("bigint").alias("prev")
         )
 
     events = F.explode(
@@ -295,16 +350,16 @@ def status_timeline(
         .otherwise(F.array(event(seq, 0, 1), event(nb + width, 0, -1)))
     )
     per_position = (
-        pairs.df.select(*pairs.point, events.alias("e"))
-        .where(F.col("e.at_seq") <= F.col("stream_rows"))
-        .groupBy(*pairs.place, "seq", F.col("e.at_seq").alias("at_seq"))
-        .agg(F.sum("e.ds").alias("ds"), F.sum("e.dp").alias("dp"))
+        pairs.df.select(*pairs.point, events.alias("_e"))
+        .where(F.col("_e.at_seq") <= F.col("stream_rows"))
+        .groupBy(*pairs.place, "seq", F.col("_e.at_seq").alias("at_seq"))
+        .agg(F.sum("_e.succ").alias("_ds"), F.sum("_e.prev").alias("_dp"))
     )
     in_order = Window.partitionBy(*pairs.place, "seq").orderBy("at_seq")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     timeline = (
-        per_position.withColumn("succ", F.sum("ds").over(so_far))
-        .withColumn("prev", F.sum("dp").over(so_far))
+        per_position.withColumn("succ", F.sum("_ds").over(so_far))
+        .withColumn("prev", F.sum("_dp").over(so_far))
         .withColumn("status", classify("succ", "prev", params.k))
         .withColumn("_before", F.lag("status").over(in_order))
     )

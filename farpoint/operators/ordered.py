@@ -131,7 +131,7 @@ def ordered_slide_counts(
     point: Sequence[str],
     probes: DataFrame | None = None,
 ) -> DataFrame:
-    """Neighbours of each point per slide in reach, itself included: columns ``point``, nb_slide, n.
+    """Neighbours of each point per slide in reach, itself included: columns ``point``, nb_slide, _near.
 
     Values are sorted per slide, so a sort group holds one slide and the bounds that look at it. Points
     without any neighbour for their NULL or NaN attributes have a row for themselves only.
@@ -165,5 +165,5 @@ def ordered_slide_counts(
     counted = rows.withColumn("_below", below).where(F.col("_kind") != _DATA)
     parts = counted.select(*columns, "nb_slide", (F.col("_weight") * F.col("_below")).alias("_part"))
     parts = parts.unionByName(alone.select(*columns, F.col("slide_id").alias("nb_slide"), F.lit(1).cast("bigint").alias("_part")))
-    counts = parts.groupBy(*columns, "nb_slide").agg(F.sum("_part").alias("n"))
-    return counts.where("n > 0")
+    counts = parts.groupBy(*columns, "nb_slide").agg(F.sum("_part").alias("_near"))
+    return counts.where("_near > 0")

@@ -35,12 +35,12 @@ def sweep(
         F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"_r{i}").alias("n")) for i, r in enumerate(radii)])
     )
     long = counts.select(*pairs.point, "nb_slide", per_radius.alias("_c")).select(
-        *pairs.point, "nb_slide", F.col("_c.radius").alias("radius"), F.col("_c.n").alias("n")
+        *pairs.point, "nb_slide", F.col("_c.radius").alias("radius"), F.col("_c.n").alias("_near")
     )
     settings = F.array(*[F.lit(int(w)) for w in sorted(set(widths))])
     panes = F.floor(F.col("width") / slide)
     near = (
-        long.where("n > 0")
+        long.where("_near > 0")
         .withColumn("width", F.explode(settings))
         .where(F.abs(F.col("nb_slide") - F.col("slide_id")) < panes)
     )

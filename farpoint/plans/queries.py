@@ -165,6 +165,11 @@ def next_check(spark, sf):
     return evidence.next_check(t.numbered_events(spark, sf), ARRIVAL_WIDTH, ATTRS, PARAMS)
 
 
+@query
+def check_schedule(spark, sf):
+    return evidence.check_schedule(t.numbered_events(spark, sf), ARRIVAL_WIDTH, ATTRS, PARAMS)
+
+
 @query
 def status_timeline(spark, sf):
     return evidence.status_timeline(t.numbered_events(spark, sf), ARRIVAL_WIDTH, ATTRS, PARAMS)

@@ -149,6 +149,24 @@ def _arrivals() -> str:
     return f"WITH {_points(1)}, {_neighbors(1, q.ARRIVAL_WIDTH, q.PARAMS.radius)}"
 
 
+def _schedule() -> str:
+    """Checks one after the other, by lists of earlier (newest first) and later neighbours."""
+    k, width = q.PARAMS.k, q.ARRIVAL_WIDTH
+    succ = "len(list_filter(f, lambda x: x <= chk))"
+    due = f"e[{k} - {succ}]"
+    return f"""{_arrivals().replace('WITH', 'WITH RECURSIVE', 1)}, l AS (
+        SELECT p.seq, p.n, coalesce(list(nb_seq ORDER BY nb_seq DESC) FILTER (nb_seq < p.seq), []) AS e,
+            coalesce(list(nb_seq ORDER BY nb_seq) FILTER (nb_seq > p.seq), []) AS f
+        FROM p LEFT JOIN nb ON nb.seq = p.seq GROUP BY p.seq, p.n
+    ), c AS (
+        SELECT seq, seq AS chk FROM l
+        UNION ALL
+        SELECT c.seq, {due} + {width} FROM c JOIN l USING (seq) WHERE {succ} < {k} AND {due} > chk - {width} AND {due} + {width} <= n
+    )
+    SELECT seq, chk AS check_seq, CASE WHEN {succ} >= {k} THEN 'Safe' WHEN {due} > chk - {width} THEN 'Unsafe' ELSE 'Outlier' END AS status
+    FROM c JOIN l USING (seq)"""
+
+
 def _timeline() -> str:
     w, k = q.ARRIVAL_WIDTH, q.PARAMS.k
     return f"""{_arrivals()},
@@ -251,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "next_check": f"""{_arrivals()}, r AS (SELECT seq, nb_seq, row_number() OVER (PARTITION BY seq ORDER BY nb_seq DESC) AS rn,
             count(*) OVER (PARTITION BY seq) AS n_prev FROM nb WHERE nb_seq < seq)
             SELECT seq, n_prev, nb_seq + {q.ARRIVAL_WIDTH} AS check_seq FROM r WHERE rn = {q.PARAMS.k}""",
+        "check_schedule": _schedule(),
         "status_timeline": _timeline(),
         "cell_outliers": _window_sql(outliers),
         "cell_outliers_wide": _window_sql(outliers, wide),
