@@ -64,3 +64,9 @@ def folder_exists(spark: SparkSession, folder: str) -> bool:
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path, fs = _path(spark, folder)
     fs.delete(path, True)
+
+
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    path, fs = _path(spark, folder)
+    return [status.getPath().getName() for status in fs.listStatus(path)] if fs.exists(path) else []

@@ -8,13 +8,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from farpoint.operators.evidence import observed, window_status
+from farpoint.operators.evidence import SlideCounts, counts_per_window, observed
+from farpoint.operators.neighbors import block_pairs
 from farpoint.operators.numbering import number_rows
 from farpoint.operators.windows import full_slides, slide_of
-from farpoint.session import delete_folder, folder_exists, release
+from farpoint.functions.status import classify
+from farpoint.session import delete_folder, materialize, release, subfolders
 from farpoint.specs import Attr, OutlierParams, WindowSpec, used_attrs
 
+_COUNTS = ArrayType(StructType([StructField("nb_slide", LongType()), StructField("_near", LongType())]))
+
 
 @dataclass(frozen=True)
 class StreamJob:
@@ -22,7 +27,11 @@ class StreamJob:
 
     ``order`` must be unique per key. Rows are numbered in this order inside a micro-batch; a row
     that sorts before the last numbered row of its key is late and goes to a side output, because a
-    count window cannot be opened again.
+    count window cannot be opened again. NULL is a key of its own.
+
+    State are the points that later windows hold and, with each of them, its neighbours per slide so far. It lies in
+    buckets by hash of the key. A batch reads and rewrites only the buckets of its own keys, and only looks for pairs
+    with a new point; what kept points already know of each other is not searched again.
     """
 
     spec: WindowSpec
@@ -32,6 +41,7 @@ class StreamJob:
     folder: str
     key: list[str] = field(default_factory=list)
     identity: list[str] = field(default_factory=list)
+    buckets: int = 64
 
     @property
     def columns(self) -> list[str]:
@@ -45,6 +55,36 @@ class StreamJob:
         """Everything written so far to ``windows`` or ``late``."""
         return spark.read.parquet(f"{self.folder}/{part}").drop("batch")
 
+    # State -----------------------------------------------------------------------------------
+
+    def _bucket(self):
+        """Bucket of a row's key; a stream without keys has one."""
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def bucket_path(self, bucket: int, batch: int | None = None) -> str:
+        path = f"{self.folder}/state/_bucket={bucket}"
+        return path if batch is None else f"{path}/_batch={batch}"
+
+    def versions(self, spark: SparkSession, bucket: int) -> list[int]:
+        """Batches that have written the bucket and are still there, oldest first."""
+        return sorted(int(name.split("=")[1]) for name in subfolders(spark, self.bucket_path(bucket)))
+
+    def _tail(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame | None, dict[int, list[int]]]:
+        """Kept points of the keys' buckets as the batches before left them, and the versions of these buckets."""
+        spark = rows.sparkSession
+        touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()] if self.key else [0]
+        older = {b: [v for v in self.versions(spark, b) if v < batch_id] for b in touched}
+        paths = [self.bucket_path(b, vs[-1]) for b, vs in older.items() if vs]
+        if not paths:
+            return None, older
+        schema = rows.select(*self.columns).schema.add("seq", "long").add("_counts", _COUNTS)
+        return spark.read.schema(schema).parquet(*paths), older
+
+    def _write_state(self, kept: DataFrame, batch_id: int) -> None:
+        placed = kept.select(*self.columns, "seq", "_counts", self._bucket().alias("_bucket"), F.lit(batch_id).alias("_batch"))
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (writer.partitionBy("_bucket", "_batch")).parquet(f"{self.folder}/state")
+
     # One micro-batch -------------------------------------------------------------------------
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -53,44 +93,45 @@ class StreamJob:
         State and results are written per batch id and depend only on the state before, so a batch
         that is run again after a failure replaces its own output.
         """
-        spark = batch.sparkSession
         rows = batch.select(*self.columns)
-        before = self.path("state", batch_id - 1)
-        tail = None
-        if folder_exists(spark, before):
-            tail = spark.read.schema(rows.schema.add("seq", "long")).parquet(before)
+        tail, older = self._tail(rows, batch_id)
         known = self._known(tail)
 
         last = F.coalesce(F.struct(*self.order) <= F.col("_last"), F.lit(False))
-        marked = known(rows, "_last").withColumn("_late", last)
+        marked = known(rows).withColumn("_late", last)
         marked.where("_late").select(*self.columns).write.mode("overwrite").parquet(self.path("late", batch_id))
         numbered = number_rows(marked.where("NOT _late").select(*self.columns), self.order, self.key)
-        points = self._merge(numbered, tail, known)
-
-        status = window_status(
-            points, self.spec, self.attrs, self.params, self.key, [*self.identity, "_from_window"]
-        ).where(F.col("window_id") >= F.col("_from_window"))
-        status = observed(status.drop("_from_window"), f"batch_{batch_id}")
-        status.write.mode("overwrite").parquet(self.path("windows", batch_id))
+        points, new = self._merge(numbered, tail, known)
+        counted = materialize(self._counted(points, new), "counted")
 
+        status = self._windows(counted)
+        observed(status, f"batch_{batch_id}").write.mode("overwrite").parquet(self.path("windows", batch_id))
         oldest = full_slides(self.spec) - self.spec.panes + 1
-        kept = points.where((slide_of("seq", self.spec) >= oldest) | (F.col("seq") == F.col("stream_rows")))
-        kept.select(*self.columns, "seq").write.mode("overwrite").parquet(self.path("state", batch_id))
-        delete_folder(spark, self.path("state", batch_id - 2))
+        kept = counted.where((slide_of("seq", self.spec) >= oldest) | (F.col("seq") == F.col("stream_rows")))
+        self._write_state(kept, batch_id)
+        # The version before stays for a batch that runs again.
+        for bucket, versions in older.items():
+            for version in versions[:-1]:
+                delete_folder(batch.sparkSession, self.bucket_path(bucket, version))
+        release(counted)
         release(numbered)
 
-    def _known(self, tail: DataFrame | None) -> Callable[[DataFrame, str], DataFrame]:
-        """A function that adds ``_seen`` (rows numbered so far) or ``_last`` (the last of them).
+    def _same(self, left: str, right: str) -> list:
+        return [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in self.key]
+
+    def _known(self, tail: DataFrame | None) -> Callable[[DataFrame], DataFrame]:
+        """A function that adds ``_seen`` (rows numbered so far) and ``_last`` (the last of them).
 
         A stream without keys has one value of each, which is read once; with keys they are joined.
         """
         order = F.struct(*self.order)
         if tail is None:
             nothing = {"_seen": F.lit(0).cast("bigint"), "_last": F.when(F.lit(False), order)}
-            return lambda df, name: df.withColumn(name, nothing[name])
+            return lambda df: df.withColumns(nothing)
         per_key = tail.groupBy(*self.key).agg(F.max("seq").alias("_seen"), F.max(order).alias("_last"))
         if self.key:
-            return lambda df, name: df.join(per_key.select(*self.key, name), self.key, "left")
+            seen = F.coalesce("k._seen", F.lit(0).cast("bigint")).alias("_seen")
+            return lambda df: df.alias("d").join(per_key.alias("k"), self._same("d", "k"), "left").select("d.*", seen, "k._last")
         # Read as text and cast back, so that no time zone of the driver gets in between.
         last = [F.col(f"_last.{c}").cast("string").alias(c) for c in self.order]
         row = per_key.select("_seen", *last).first()
@@ -101,30 +142,57 @@ class StreamJob:
             "_seen": F.lit(row["_seen"]).cast("bigint"),
             "_last": F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in self.order]),
         }
-        return lambda df, name: df.withColumn(name, values[name])
+        return lambda df: df.withColumns(values)
 
     def _merge(
-        self, numbered: DataFrame, tail: DataFrame | None, known: Callable[[DataFrame, str], DataFrame]
-    ) -> DataFrame:
-        """Kept and new points with their final positions, the new total and the first open window."""
-        none = F.lit(0).cast("bigint")
-        seen = F.coalesce("_seen", none)
-        new = known(numbered, "_seen").select(
-            *self.columns, (F.col("seq") + seen).alias("seq"), (F.col("stream_rows") + seen).alias("stream_rows"),
-            seen.alias("_seen"),
-        )
-        points = new
-        if tail is not None:
-            old = known(tail, "_seen")
-            if self.key:
-                totals = numbered.groupBy(*self.key).agg(F.max("stream_rows").alias("_new"))
-                old = old.join(totals, self.key, "left")
-            else:
-                old = old.withColumn("_new", F.lit(numbered.count()))
-            total = (F.col("_seen") + F.coalesce("_new", none)).alias("stream_rows")
-            points = old.select(*self.columns, "seq", total, "_seen").unionByName(new)
+        self, numbered: DataFrame, tail: DataFrame | None, known: Callable[[DataFrame], DataFrame]
+    ) -> tuple[DataFrame, DataFrame]:
+        """Kept and new points, and new points alone, with final positions, new totals and ``_seen``."""
+        seen = F.col("_seen")
+        fields = [*self.columns, "seq", "stream_rows", "_seen", "_counts"]
+        new = known(numbered).withColumn("_counts", F.array().cast(_COUNTS))
+        new = new.withColumns({"seq": F.col("seq") + seen, "stream_rows": F.col("stream_rows") + seen}).select(*fields)
+        if tail is None:
+            return new, new
+        old = known(tail)
+        if self.key:
+            totals = numbered.groupBy(*self.key).agg(F.max("stream_rows").alias("_new"))
+            old = old.alias("o").join(totals.alias("t"), self._same("o", "t"), "left").select("o.*", "t._new")
+        else:
+            old = old.withColumn("_new", F.lit(numbered.count()))
+        old = old.withColumn("stream_rows", seen + F.coalesce("_new", F.lit(0).cast("bigint"))).select(*fields)
+        return old.unionByName(new), new
+
+    def _counted(self, points: DataFrame, new: DataFrame) -> DataFrame:
+        """``points`` with all their counts per slide: those known before and those from pairs with a new point."""
+        pairs = block_pairs(points, self.spec, self.attrs, self.params.radius, self.key, ["_seen"], probes=new).df
+        add = lambda seq, slide: F.struct(F.col(seq).alias("seq"), F.col(slide).alias("nb_slide"))
+        # A pair of a new and a kept point counts for both; two new points meet twice.
+        both = F.when(F.col("nb_seq") <= F.col("_seen"), F.array(add("seq", "nb_slide"), add("nb_seq", "slide_id")))
+        found = pairs.select(*self.key, F.explode(F.coalesce(both, F.array(add("seq", "nb_slide")))).alias("_a"))
+        per_slide = found.groupBy(*self.key, "_a.seq", "_a.nb_slide").agg(F.count("*").alias("_near"))
+        added = per_slide.groupBy(*self.key, "seq").agg(F.collect_list(F.struct("nb_slide", "_near")).alias("_added"))
+        same = [*self._same("p", "a"), F.col("p.seq") == F.col("a.seq")]
+        joined = points.alias("p").join(added.alias("a"), same, "left").select("p.*", "a._added")
+        return joined.withColumn("_counts", F.concat("_counts", F.coalesce("_added", F.array().cast(_COUNTS)))).drop("_added")
+
+    def _windows(self, counted: DataFrame) -> DataFrame:
+        """Status of each point in the windows that the batch completes."""
         first_open = F.floor(F.col("_seen") / self.spec.slide).cast("bigint").alias("_from_window")
-        return points.select(*self.columns, "seq", "stream_rows", first_open)
+        place = [*self.key, "seq"]
+        point = list(dict.fromkeys([*place, "slide_id", "stream_rows", *self.identity, "_from_window"]))
+        # One bucket of counts may come from several batches.
+        counts = (
+            counted.select("*", slide_of("seq", self.spec).alias("slide_id"), first_open)
+            .where(F.col("_from_window") < full_slides(self.spec))
+            .select(*point, F.explode("_counts").alias("_c"))
+            .groupBy(*point, F.col("_c.nb_slide").alias("nb_slide"))
+            .agg(F.sum("_c._near").alias("_near"))
+        )
+        windows = counts_per_window(SlideCounts(counts, place, point), self.spec).where("window_id >= _from_window")
+        status = classify("succ", "prev", self.params.k).alias("status")
+        identity = [c for c in self.identity if c not in place]
+        return windows.select(*self.key, "window_id", "seq", *identity, "succ", "prev", status)
 
     # The stream ------------------------------------------------------------------------------
 

@@ -15,7 +15,8 @@ SCHEMA = "u int, at bigint, v double, t string"
 
 def rows(n, seed):
     r = random.Random(seed)
-    return [(0 if r.random() < 0.6 else r.randint(1, 3), i, r.randint(0, 16) / 2, r.choice("ab")) for i in range(n)]
+    value = lambda: r.choice([None, float("nan"), float("inf")]) if r.random() < 0.1 else r.randint(0, 16) / 2
+    return [(r.choice([0, None]) if r.random() < 0.8 else r.randint(1, 3), i, value(), r.choice(["a", "b", None])) for i in range(n)]
 
 
 def batches(data, cuts):
@@ -34,7 +35,7 @@ def in_batch(spark, data, key):
     return {tuple(r) for r in window_status(numbered, SPEC, ATTRS, PARAMS, key, ["at"]).collect()}
 
 
-@pytest.mark.parametrize("cuts,key", [([5, 31], []), ([30], ["u"])])
+@pytest.mark.parametrize("cuts,key", [([5, 31], []), ([30], ["u"]), ([7, 20, 44], ["u"])])
 def test_stream_equals_batch(spark, tmp_path, cuts, key):
     data = rows(50, 2)
     job = StreamJob(SPEC, PARAMS, ATTRS, ["at"], str(tmp_path / "job"), key, ["at"])
@@ -58,6 +59,22 @@ def test_late_rows_go_aside_and_a_batch_may_run_twice(spark, tmp_path):
     assert [r.v for r in job.read(spark, "late").collect()] == [99.0]
 
 
+def test_a_batch_touches_the_buckets_of_its_keys_only(spark, tmp_path):
+    job = StreamJob(SPEC, PARAMS, ATTRS, ["at"], str(tmp_path / "job"), ["u"], ["at"])
+    data = [(i % 5 or None, i, float(i % 7), "a") for i in range(60)]
+    first = spark.createDataFrame(data, SCHEMA)
+    job.process(first, 0)
+    job.process(spark.createDataFrame([(2, 100 + i, float(i), "a") for i in range(20)], SCHEMA), 1)
+    bucket = {r.u: r.b for r in first.select("u", job._bucket().alias("b")).distinct().collect()}
+    assert len(set(bucket.values())) > 1
+    assert {b for b in bucket.values() if 1 in job.versions(spark, b)} == {bucket[2]}
+    tail, older = job._tail(spark.createDataFrame([(2, 200, 0.0, "a")], SCHEMA), 2)
+    assert older == {bucket[2]: [0, 1]} and all(f"_bucket={bucket[2]}/_batch=1" in f for f in tail.inputFiles())
+    got = {tuple(r) for r in job.read(spark).select("u", "window_id", "seq", "at", "succ", "prev", "status").collect()}
+    everything = data + [(2, 100 + i, float(i), "a") for i in range(20)]
+    assert got == in_batch(spark, everything, ["u"])
+
+
 def test_keyed_state_equals_batch(spark, tmp_path):
     data = rows(60, 4)
     stream = feed(spark, str(tmp_path / "in"), batches(data, [13, 45]))
