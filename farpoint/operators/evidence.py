@@ -30,7 +30,7 @@ class SlideCounts:
     point: list[str]
 
 
-def _count_slides(pairs: BlockPairs) -> SlideCounts:
+def count_slides(pairs: BlockPairs) -> SlideCounts:
     return SlideCounts(
         pairs.df.groupBy(*pairs.point, "nb_slide").agg(F.count("*").alias("_near")), pairs.place, pairs.point
     )
@@ -55,7 +55,7 @@ def slide_counts(
     if method == "auto":
         method = "ordered" if spec.slide >= ORDERED_SLIDE and countable(attrs) else "pairs"
     if method == "pairs":
-        return _count_slides(block_pairs(numbered, spec, attrs, radius, key, carry, probes))
+        return count_slides(block_pairs(numbered, spec, attrs, radius, key, carry, probes))
     if method != "ordered" or not countable(attrs):
         raise ValueError(f"method {method} does not apply to these attributes")
     point = list(dict.fromkeys([*key, "seq", "slide_id", "stream_rows", *carry]))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from farpoint.operators.evidence import SlideCounts, counts_per_window, observed
+from farpoint.functions.status import classify
+from farpoint.operators.evidence import SlideCounts, count_slides, counts_per_window, observed
 from farpoint.operators.neighbors import block_pairs
 from farpoint.operators.numbering import number_rows
 from farpoint.operators.windows import full_slides, slide_of
-from farpoint.functions.status import classify
 from farpoint.session import delete_folder, materialize, release, subfolders
 from farpoint.specs import Attr, OutlierParams, WindowSpec, used_attrs
 
@@ -101,19 +101,18 @@ class StreamJob:
         marked = known(rows).withColumn("_late", last)
         marked.where("_late").select(*self.columns).write.mode("overwrite").parquet(self.path("late", batch_id))
         numbered = number_rows(marked.where("NOT _late").select(*self.columns), self.order, self.key)
-        points, new = self._merge(numbered, tail, known)
-        counted = materialize(self._counted(points, new), "counted")
+        old, new = self._merge(numbered, tail, known)
 
-        status = self._windows(counted)
-        observed(status, f"batch_{batch_id}").write.mode("overwrite").parquet(self.path("windows", batch_id))
-        oldest = full_slides(self.spec) - self.spec.panes + 1
-        kept = counted.where((slide_of("seq", self.spec) >= oldest) | (F.col("seq") == F.col("stream_rows")))
-        self._write_state(kept, batch_id)
+        counts = self._counts(old, new)
+        kept_counts = SlideCounts(materialize(counts.df, "counts"), counts.place, counts.point)
+        status = observed(self._windows(kept_counts), f"batch_{batch_id}")
+        status.write.mode("overwrite").parquet(self.path("windows", batch_id))
+        self._write_state(self._kept(new if old is None else new.unionByName(old.drop("_counts")), kept_counts), batch_id)
         # The version before stays for a batch that runs again.
         for bucket, versions in older.items():
             for version in versions[:-1]:
                 delete_folder(batch.sparkSession, self.bucket_path(bucket, version))
-        release(counted)
+        release(kept_counts.df)
         release(numbered)
 
     def _same(self, left: str, right: str) -> list:
@@ -146,53 +145,62 @@ class StreamJob:
 
     def _merge(
         self, numbered: DataFrame, tail: DataFrame | None, known: Callable[[DataFrame], DataFrame]
-    ) -> tuple[DataFrame, DataFrame]:
-        """Kept and new points, and new points alone, with final positions, new totals and ``_seen``."""
+    ) -> tuple[DataFrame | None, DataFrame]:
+        """Kept and new points with final positions, new totals and ``_seen``."""
         seen = F.col("_seen")
-        fields = [*self.columns, "seq", "stream_rows", "_seen", "_counts"]
-        new = known(numbered).withColumn("_counts", F.array().cast(_COUNTS))
-        new = new.withColumns({"seq": F.col("seq") + seen, "stream_rows": F.col("stream_rows") + seen}).select(*fields)
+        fields = [*self.columns, "seq", "stream_rows", "_seen"]
+        new = known(numbered).withColumns({"seq": F.col("seq") + seen, "stream_rows": F.col("stream_rows") + seen}).select(*fields)
         if tail is None:
-            return new, new
+            return None, new
         old = known(tail)
         if self.key:
             totals = numbered.groupBy(*self.key).agg(F.max("stream_rows").alias("_new"))
             old = old.alias("o").join(totals.alias("t"), self._same("o", "t"), "left").select("o.*", "t._new")
         else:
             old = old.withColumn("_new", F.lit(numbered.count()))
-        old = old.withColumn("stream_rows", seen + F.coalesce("_new", F.lit(0).cast("bigint"))).select(*fields)
-        return old.unionByName(new), new
-
-    def _counted(self, points: DataFrame, new: DataFrame) -> DataFrame:
-        """``points`` with all their counts per slide: those known before and those from pairs with a new point."""
-        pairs = block_pairs(points, self.spec, self.attrs, self.params.radius, self.key, ["_seen"], probes=new).df
-        add = lambda seq, slide: F.struct(F.col(seq).alias("seq"), F.col(slide).alias("nb_slide"))
-        # A pair of a new and a kept point counts for both; two new points meet twice.
-        both = F.when(F.col("nb_seq") <= F.col("_seen"), F.array(add("seq", "nb_slide"), add("nb_seq", "slide_id")))
-        found = pairs.select(*self.key, F.explode(F.coalesce(both, F.array(add("seq", "nb_slide")))).alias("_a"))
-        per_slide = found.groupBy(*self.key, "_a.seq", "_a.nb_slide").agg(F.count("*").alias("_near"))
-        added = per_slide.groupBy(*self.key, "seq").agg(F.collect_list(F.struct("nb_slide", "_near")).alias("_added"))
-        same = [*self._same("p", "a"), F.col("p.seq") == F.col("a.seq")]
-        joined = points.alias("p").join(added.alias("a"), same, "left").select("p.*", "a._added")
-        return joined.withColumn("_counts", F.concat("_counts", F.coalesce("_added", F.array().cast(_COUNTS)))).drop("_added")
+        old = old.withColumn("stream_rows", seen + F.coalesce("_new", F.lit(0).cast("bigint")))
+        return old.select(*fields, "_counts"), new
+
+    @property
+    def _carried(self) -> list[str]:
+        return [*[c for c in self.identity if c not in self.key], "_seen"]
 
-    def _windows(self, counted: DataFrame) -> DataFrame:
-        """Status of each point in the windows that the batch completes."""
-        first_open = F.floor(F.col("_seen") / self.spec.slide).cast("bigint").alias("_from_window")
+    def _counts(self, old: DataFrame | None, new: DataFrame) -> SlideCounts:
+        """Counts per slide of kept and new points: what kept points have, and what pairs with a new point add.
+
+        New points are searched for among kept and new ones, kept points among new ones only; which of them is
+        meant is part of the join key.
+        """
+        points = new.withColumn("_new", F.lit(True))
+        probes = points
         place = [*self.key, "seq"]
-        point = list(dict.fromkeys([*place, "slide_id", "stream_rows", *self.identity, "_from_window"]))
-        # One bucket of counts may come from several batches.
-        counts = (
-            counted.select("*", slide_of("seq", self.spec).alias("slide_id"), first_open)
-            .where(F.col("_from_window") < full_slides(self.spec))
-            .select(*point, F.explode("_counts").alias("_c"))
-            .groupBy(*point, F.col("_c.nb_slide").alias("nb_slide"))
-            .agg(F.sum("_c._near").alias("_near"))
-        )
-        windows = counts_per_window(SlideCounts(counts, place, point), self.spec).where("window_id >= _from_window")
+        point = [*place, "slide_id", "stream_rows", *self._carried]
+        if old is not None:
+            kept = old.drop("_counts")
+            points = points.unionByName(kept.withColumn("_new", F.lit(False)))
+            probes = new.withColumn("_new", F.explode(F.array(F.lit(True), F.lit(False)))).unionByName(kept.withColumn("_new", F.lit(True)))
+        pairs = block_pairs(points, self.spec, self.attrs, self.params.radius, [*self.key, "_new"], self._carried, probes=probes)
+        counts = count_slides(pairs).df.select(*point, "nb_slide", "_near")
+        if old is not None:
+            had = old.withColumn("slide_id", slide_of("seq", self.spec)).select(*point, F.explode("_counts").alias("_c"))
+            counts = counts.unionByName(had.select(*point, "_c.*"))
+            counts = counts.groupBy(*point, "nb_slide").agg(F.sum("_near").alias("_near"))
+        return SlideCounts(counts, place, point)
+
+    def _windows(self, counts: SlideCounts) -> DataFrame:
+        """Status of the points in the windows that the batch completes."""
+        first_open = F.floor(F.col("_seen") / self.spec.slide)
+        windows = counts_per_window(counts, self.spec).where(F.col("window_id") >= first_open)
         status = classify("succ", "prev", self.params.k).alias("status")
-        identity = [c for c in self.identity if c not in place]
-        return windows.select(*self.key, "window_id", "seq", *identity, "succ", "prev", status)
+        return windows.select(*self.key, "window_id", "seq", *[c for c in self.identity if c not in self.key], "succ", "prev", status)
+
+    def _kept(self, points: DataFrame, counts: SlideCounts) -> DataFrame:
+        """Points of windows to come and the last one of each key, with their counts per slide."""
+        oldest = full_slides(self.spec) - self.spec.panes + 1
+        needed = (slide_of("seq", self.spec) >= oldest) | (F.col("seq") == F.col("stream_rows"))
+        arrays = counts.df.where(needed).groupBy(*counts.place).agg(F.collect_list(F.struct("nb_slide", "_near")).alias("_counts"))
+        same = [*self._same("p", "a"), F.col("p.seq") == F.col("a.seq")]
+        return points.where(needed).alias("p").join(arrays.alias("a"), same).select("p.*", "a._counts")
 
     # The stream ------------------------------------------------------------------------------
 
