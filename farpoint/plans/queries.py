@@ -22,6 +22,7 @@ from farpoint.sources import boxes as box_source
 from farpoint.sources import points as point_source
 from farpoint.sources import sensor
 from farpoint.specs import Attr, OutlierParams, WindowSpec, attr_roles, identity_columns
+from farpoint.streaming.changes import rocksdb_state, stream_status_changes as status_changes
 from farpoint.streaming.keyed import stream_outliers_keyed
 from farpoint.streaming.windows import StreamJob
 
@@ -613,3 +614,17 @@ def stream_outliers_by_key(spark, sf):
 
     _run_on_growing_folder(spark, sf, start)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query
+def stream_status_changes(spark, sf):
+    folder = _out(spark, "changes")
+
+    def start(stream: DataFrame):
+        changes = status_changes(stream, "user_id", t.EVENT_ORDER, ATTRS, t.USER_SPEC.width, t.USER_PARAMS)
+        writer = changes.writeStream.format("parquet").option("path", f"{folder}/out")
+        with rocksdb_state(spark):
+            return writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    _run_on_growing_folder(spark, sf, start)
+    return spark.read.parquet(f"{folder}/out")

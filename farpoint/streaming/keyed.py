@@ -18,13 +18,19 @@ LATE = "Late"
 
 
 def _near(points: dict[str, np.ndarray], attrs: list[Attr], radius: float) -> np.ndarray:
-    """Matrix of the pairs within the radius among the points of one window."""
+    """Matrix of the pairs within the radius among the points of one window; NULL, NaN and infinite values are near nothing."""
     total = 0.0
-    for a in attrs:
-        column = points[a.name]
-        gap = column[:, None] - column[None, :] if a.numeric else None
-        total = total + (gap * gap if a.numeric else (column[:, None] != column[None, :]).astype("float64"))
-    near = np.sqrt(total) <= radius
+    with np.errstate(invalid="ignore", over="ignore"):
+        for a in attrs:
+            column = points[a.name]
+            if a.numeric:
+                column = column.astype("float64")
+                known = np.isfinite(column)
+                total = total + np.where(known[:, None] & known[None, :], (column[:, None] - column[None, :]) ** 2, np.inf)
+            else:
+                missing = pd.isna(column)
+                total = total + ((column[:, None] != column[None, :]) | missing[:, None] | missing[None, :]).astype("float64")
+        near = np.sqrt(total) <= radius
     np.fill_diagonal(near, False)
     return near
 

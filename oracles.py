@@ -167,20 +167,21 @@ def _schedule() -> str:
     FROM c JOIN l USING (seq)"""
 
 
-def _timeline() -> str:
-    w, k = q.ARRIVAL_WIDTH, q.PARAMS.k
-    return f"""{_arrivals()},
+def _timeline(w: int = q.ARRIVAL_WIDTH, params=q.PARAMS, key: str = "") -> str:
+    k = f"{key}, " if key else ""
+    return f"""WITH {_points(1, key)}, {_neighbors(1, w, params.radius, key)},
     e AS (
-      SELECT seq, seq AS at_seq, 0 AS ds, 0 AS dp FROM p
-      UNION ALL SELECT seq, nb_seq, 1, 0 FROM nb WHERE nb_seq > seq
-      UNION ALL SELECT seq, seq, 0, 1 FROM nb WHERE nb_seq < seq
-      UNION ALL SELECT seq, nb_seq + {w}, 0, -1 FROM nb WHERE nb_seq < seq),
-    g AS (SELECT seq, at_seq, sum(ds) AS ds, sum(dp) AS dp FROM e WHERE at_seq <= (SELECT max(seq) FROM p) GROUP BY ALL),
-    c AS (SELECT seq, at_seq, CAST(sum(ds) OVER o AS BIGINT) AS succ, CAST(sum(dp) OVER o AS BIGINT) AS prev
-          FROM g WINDOW o AS (PARTITION BY seq ORDER BY at_seq)),
-    s AS (SELECT *, {STATUS.format(k=k)} AS status FROM c),
-    l AS (SELECT *, lag(status) OVER (PARTITION BY seq ORDER BY at_seq) AS was FROM s)
-    SELECT seq, at_seq, succ, prev, status FROM l WHERE was IS NULL OR was <> status"""
+      SELECT {k}n, seq, seq AS at_seq, 0 AS ds, 0 AS dp FROM p
+      UNION ALL SELECT {k}NULL, seq, nb_seq, 1, 0 FROM nb WHERE nb_seq > seq
+      UNION ALL SELECT {k}NULL, seq, seq, 0, 1 FROM nb WHERE nb_seq < seq
+      UNION ALL SELECT {k}NULL, seq, nb_seq + {w}, 0, -1 FROM nb WHERE nb_seq < seq),
+    f AS (SELECT *, max(n) OVER ({f'PARTITION BY {key}' if key else ''}) AS last FROM e),
+    g AS (SELECT {k}seq, at_seq, sum(ds) AS ds, sum(dp) AS dp FROM f WHERE at_seq <= last GROUP BY ALL),
+    c AS (SELECT {k}seq, at_seq, CAST(sum(ds) OVER o AS BIGINT) AS succ, CAST(sum(dp) OVER o AS BIGINT) AS prev
+          FROM g WINDOW o AS (PARTITION BY {k}seq ORDER BY at_seq)),
+    s AS (SELECT *, {STATUS.format(k=params.k)} AS status FROM c),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY {k}seq ORDER BY at_seq) AS was FROM s)
+    SELECT {k}seq, at_seq, succ, prev, status FROM l WHERE was IS NULL OR was <> status"""
 
 
 def _sweep() -> str:
@@ -271,6 +272,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT seq, n_prev, nb_seq + {q.ARRIVAL_WIDTH} AS check_seq FROM r WHERE rn = {q.PARAMS.k}""",
         "check_schedule": _schedule(),
         "status_timeline": _timeline(),
+        "stream_status_changes": _timeline(q.t.USER_SPEC.width, q.t.USER_PARAMS, "user_id"),
         "cell_outliers": _window_sql(outliers),
         "cell_outliers_wide": _window_sql(outliers, wide),
         "micro_clusters": _clusters() + " SELECT slide_id, cluster_id, event_type, value, n, round(radius, 6) AS radius FROM cl",

@@ -3,8 +3,9 @@ import random
 import pytest
 
 from farpoint import Attr, OutlierParams, WindowSpec
-from farpoint.operators.evidence import window_status
+from farpoint.operators.evidence import status_timeline, window_status
 from farpoint.operators.numbering import number_rows
+from farpoint.streaming.changes import CHUNK, RUN, Window, rocksdb_state, stream_status_changes
 from farpoint.streaming.keyed import stream_outliers_keyed
 from farpoint.streaming.windows import StreamJob
 
@@ -98,3 +99,44 @@ def test_points_from_a_growing_csv_folder(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.a for r in spark.table("good_points").collect()) == [0.0, 1.0]
     assert sorted(r.a for r in spark.table("bad_points").collect()) == ["10", "11"]
+
+
+@pytest.mark.parametrize(("width", "cuts"), [(12, [13, 45, 46]), (1, [30]), (40, [5])])
+def test_status_changes_equal_the_timeline(spark, tmp_path, width, cuts):
+    data = rows(90, 8)
+    late = [(0, 3, 1.0, "a")]
+    changes = stream_status_changes(feed(spark, str(tmp_path / "in"), [*batches(data, cuts), late]), "u", ["at"], ATTRS, width, PARAMS)
+    out = str(tmp_path / "out")
+    writer = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+    with rocksdb_state(spark):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(changes.schema).parquet(out).collect()]
+    numbered = number_rows(spark.createDataFrame(data, SCHEMA), ["at"], ["u"])
+    want = {tuple(r) for r in status_timeline(numbered, width, ATTRS, PARAMS, ["u"]).collect()}
+    assert len(got) == len(set(got)) and set(got) == want | {(0, None, None, None, None, "Late")}
+
+
+def test_a_wide_window_of_one_key_needs_little_memory():
+    """A window of many runs and chunks against counting anew at every position."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n, width, params = 3 * CHUNK, 2 * CHUNK + 7, OutlierParams(0.004, 3)
+    v = r.random(n)
+    window = Window([Attr("v")], width, params, 1, {"v": np.zeros(0)}, [], [])
+    got = [[], [], [], [], []]
+    for start in range(0, n, RUN):
+        for held, x in zip(got, window.advance({"v": v[start : start + RUN]}).values()):
+            held.extend(x.tolist())
+    changes = sorted(zip(*got))
+    assert len(window.succ) == width and window.end == n + 1
+    near = np.abs(v[:, None] - v[None, :]) <= 0.004
+    for p in r.integers(0, n, 40):
+        mine, was = [c for c in changes if c[0] == p + 1], None
+        for at in range(p, min(n, p + width)):
+            succ, prev = near[p, p + 1 : at + 1].sum(), near[p, max(0, at - width + 1) : p].sum()
+            status = "Safe" if succ >= 3 else "Unsafe" if succ + prev >= 3 else "Outlier"
+            if status != was:
+                assert mine.pop(0) == (p + 1, at + 1, succ, prev, status)
+            was = status
+        assert not mine
