@@ -30,6 +30,8 @@ def number_rows(
     the partitions before it, which needs only a count per partition.
     """
     keys = list(key)
+    if {seq, total} & set(df.columns):
+        raise ValueError(f"the table has a column {seq} or {total} already; name others")
     stored = _ranged_copy(df, keys, order_by)
     groups = stored.groupBy(*keys, _PART).agg(F.count("*").alias(_COUNT), F.min(_INDEX).alias(_FIRST))
     if keys:

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from farpoint import Attr, OutlierParams, WindowSpec
-from farpoint.operators.cells import cell_outliers
+from farpoint.operators import pivots
+from farpoint.operators.cells import cell_outliers, cluster_neighbors, micro_clusters
 from farpoint.operators.evidence import window_status
 from farpoint.operators.numbering import number_rows
 from farpoint.operators.ranges import neighbor_counts
@@ -88,3 +89,50 @@ def test_many_tied_hot_keys_are_all_split(spark):
     assert "TakeOrdered" not in joined._jdf.queryExecution().executedPlan().toString()
     rows = [(r.a, r.b) for r in joined.collect()]
     assert len(rows) == len(set(rows)) == 1800 and all(a % 200 == b % 200 for a, b in rows)
+
+
+# Key, value, kind: NULL keys, values that are missing, not finite or beyond all cells, and columns with names that are used inside.
+ODD = [
+    (u, i, v, k, "n", 1, "s", 0.5)
+    for i, (u, v, k) in enumerate(
+        (u, v, k)
+        for u in (None, 1)
+        for v, k in [(1.0, "a"), (1.1, "a"), (1.2, "a"), (1.3, None), (None, "a"), (NAN, "a"), (float("inf"), "a"), (float("inf"), "a"),
+                     (-float("inf"), "a"), (1e300, "a"), (1e300, "a"), (2e300, "a"), (4e300, "a"), (0.0, "a"), (9.0, "b"), (0.1, "a")]
+    )
+]
+ODD_SCHEMA = "u int, at int, v double, k string, n string, ds int, status string, distance double"
+ODD_ATTRS = [Attr("v"), Attr("k", "nominal")]
+
+
+def test_cells_lose_no_outlier(spark):
+    df = number_rows(spark.createDataFrame(ODD, ODD_SCHEMA), ["at"], ["u"])
+    spec, params = WindowSpec(8, 4), OutlierParams(0.5, 2)
+    full = window_status(df, spec, ODD_ATTRS, params, ["u"], ["n"], method="pairs").where("status = 'Outlier'").collect()
+    short = cell_outliers(df, spec, ODD_ATTRS, params, ["u"], ["n"]).collect()
+    assert sorted(map(tuple, short), key=str) == sorted(map(tuple, full), key=str) and {r.u for r in short} == {None, 1}
+
+
+def test_clusters_hold_real_places_only_and_keep_null_keys(spark):
+    df = number_rows(spark.createDataFrame(ODD, ODD_SCHEMA), ["at"], ["u"])
+    clusters = micro_clusters(df, WindowSpec(8, 4), ODD_ATTRS, 0.5, ["u"]).collect()
+    assert all(r.v is not None and abs(r.v) < 10 and r.k is not None for r in clusters)
+    assert sum(r.n for r in clusters) == 12
+    near = cluster_neighbors(df, WindowSpec(16, 4), ODD_ATTRS, 0.8, ["u"]).collect()
+    by_key = {u: {tuple(r)[1:] for r in near if r.u == u} for u in (None, 1)}
+    assert by_key[None] == by_key[1] and by_key[1]
+
+
+def test_vectors_that_are_missing_or_not_finite(spark):
+    rows = [(1, [0.0, 0.0]), (2, None), (3, [0.1, 0.0]), (4, [float("nan"), 0.0]), (5, [None, 1.0]), (6, [5.0, 0.0]), (7, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id int, p array<double>")
+    anchors = df.where("id IN (1, 6)")
+    got = {r.id: (r.pivot_id, r.distance) for r in pivots.assign_pivots(df, anchors, "id", "p").collect()}
+    assert got == {1: (1, 0.0), 3: (1, 0.1), 6: (6, 0.0), **{i: (None, None) for i in (2, 4, 5, 7)}}
+    assert {(r.id, r.nb_id) for r in pivots.pivot_range_join(df, anchors, "id", "p", 0.2).collect()} == {(1, 3), (3, 1)}
+    assert {r.id: r.side for r in pivots.split_between(df, [0.0, 0.0], [5.0, 0.0], "id", "p").collect()} == {1: 1, 3: 1, 6: 2, 2: None, 4: None, 5: None, 7: None}
+
+
+def test_numbering_refuses_columns_of_its_own_names(spark):
+    with pytest.raises(ValueError, match="seq"):
+        number_rows(spark.createDataFrame([(1, 2)], "id int, seq int"), ["id"])
