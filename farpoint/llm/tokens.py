@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 # Words that a task remembers, some hundred bytes each; it starts anew when they are full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
