@@ -1,163 +1,244 @@
-"""Near-duplicate texts by the Jaccard similarity of their shingle sets; SimHash bits only choose what is verified."""
+"""Near-duplicate texts by deletion-variant signatures, then by shared shingles; true shingle sets decide every link."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farpoint.llm.arrow import map_texts, texts, whole_keys
-from farpoint.llm.components import connected_components
-from farpoint.llm.simhash import HELD_ROWS, KEY_ROWS, bit_majority, shingle_hashes, word_columns
-from farpoint.session import materialize
+from farpoint.llm.components import connected_components, tied_to_smallest
+from farpoint.llm.simhash import HELD_ROWS, KEY_ROWS, bit_majority, shingle_hashes, similar_fingerprints, word_columns
+from farpoint.session import materialize, release
 
 # Similarity from which texts link, as a fraction.
 LINKED = (4, 5)
-# Bits of 128 that candidates may differ in. A pair at 0.8 differs in 15 % of the bits (19 %, for the smallest sets), so
-# fewer than one in a million such pairs differ in more.
-WORDS, CANDIDATE_BITS = 2, 48
-# Smallest shingle hashes by which a first round joins crowds of near copies.
-FIRST_KEYS = 4
+# Bits of 64 in which fingerprints of the first round may differ.
+FIRST_BITS = 10
+# Sizes of a segment of the first round; it grows with the logarithm of the number of sets.
+SEGMENT_BITS = (16, 32)
+# SimHash words of a set, and those of them that travel with each key.
+WORDS, KEY_WORDS = 4, 2
+# Unlike bits up to which candidates are verified, by words. A pair at 0.8 differs in 15 % of the bits (19 %, for the
+# smallest sets), so fewer than one in a million such pairs differ in more.
+MOST_BITS = {KEY_WORDS: 48, WORDS: 80}
+# Consecutive sets of a block; candidates are compared by pairs of blocks.
+BLOCK_SETS = 128
+# Shared shingles that a task spreads out at a time.
+COLUMNS = 16_384
 
 
 def shingle_prints(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """Per row: id, hash of the text ``t0, t1`` and of its shingle set ``s0, s1``, set bits ``w0, w1`` and ``prefix``.
+    """Per row: id, hash of the text ``t0, t1`` and of its shingle set ``s0, s1``, SimHash words of the set ``w0``,
+    ``w1``, ..., its ``size`` and ``prefix``.
 
     The prefix is the smallest hashes of the set, so many that two sets at the threshold share one of them.
     """
     part, whole = LINKED
+    names = ["t0", "t1", "s0", "s1", *word_columns(WORDS), "size"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, prefixes = [], []
         for raw in texts(batch.column(3)):
             one = np.unique(shingle_hashes(raw, width))
             digest = xxhash.xxh3_128_digest(one.astype("<u8").tobytes())
-            found.append([*np.frombuffer(digest, dtype="<i8").tolist(), *(bit_majority(one, WORDS) if len(one) else [0] * WORDS)])
-            needed = len(one) - -(-len(one) * part // whole) + 1
-            prefixes.append(one[:needed].view(np.int64))
-        columns = np.array(found, dtype=np.int64).reshape(-1, 2 + WORDS)
-        arrays = [*(batch.column(i) for i in range(3)), *(pa.array(columns[:, i]) for i in range(2 + WORDS)), pa.array(prefixes, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=[id_column, "t0", "t1", "s0", "s1", *word_columns(WORDS), "prefix"])
-
-    bits = ", ".join(f"{w} bigint" for w in ("t0", "t1", "s0", "s1", *word_columns(WORDS)))
-    schema = f"`{id_column}` {dict(docs.dtypes)[id_column]}, {bits}, prefix array<bigint>"
+            bits = bit_majority(one, WORDS) if len(one) else [0] * WORDS
+            found.append([*np.frombuffer(digest, dtype="<i8").tolist(), *bits, len(one)])
+            prefixes.append(one[: len(one) - -(-len(one) * part // whole) + 1].view(np.int64))
+        columns = np.array(found, dtype=np.int64).reshape(-1, 3 + WORDS)
+        arrays = [*(batch.column(i) for i in range(3)), *map(pa.array, columns.T.copy()), pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=[id_column, *names, "prefix"])
+
+    schema = f"`{id_column}` {dict(docs.dtypes)[id_column]}, {', '.join(f'{n} bigint' for n in names)}, prefix array<bigint>"
     return map_texts(docs.select(F.col(f"`{id_column}`"), *_text_key(text), F.col(f"`{text}`")), work, schema)
 
 
-def _text_key(text: str) -> list:
+def _text_key(text: str) -> list[Column]:
     value = F.col(f"`{text}`")
     return [F.xxhash64(value).alias("t0"), F.xxhash64(F.lit(1), value).alias("t1")]
 
 
-def _candidates(sets: DataFrame, key_rows: int, most_lag: int | None = None) -> DataFrame:
-    """Pairs ``a``, ``b`` of sets of different classes ``c`` that share a key and differ in few bits.
+def _signature_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
+    """Candidates ``a < b``: sets whose first fingerprint words meet under a segment with one bit left out.
 
-    ``sets`` has ``s0, s1, w0, w1``, a class ``c`` and ``keys``. Keys of more than ``key_rows`` sets are cut into chunks that
-    meet pairwise. With ``most_lag`` a set meets only so many of the next ones of its key.
+    Sets of one fingerprint are tied to the first of them. A task returns about as many pairs as it has fingerprints.
     """
-    rows = sets.select("s0", "s1", "w0", "w1", F.col("c.s0").alias("c0"), F.col("c.s1").alias("c1"), F.explode("keys").alias("value"))
-    if most_lag is None:
-        sizes = sets.select(F.explode("keys").alias("value")).groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > key_rows)
-        chunks = materialize(sizes.select("value", F.ceil(F.col("n") / key_rows).cast("int").alias("chunks")), "chunks")
-        own = F.pmod(F.xxhash64("s0", "s1"), F.col("chunks")).cast("int")
-        others = F.transform(
-            F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64(F.col("value"), F.least(own, c), F.greatest(own, c))
-        )
-        rows = rows.join(chunks, "value", "left").withColumn("key", F.explode(F.coalesce(others, F.array("value"))))
-    else:
-        # A crowded key is sorted in parts, by bits, so that near copies are neighbours.
-        rows = rows.withColumn("key", F.xxhash64("value", F.shiftright("w0", 60)))
-    names = ["s0", "s1", "w0", "w1", "c0", "c1"]
-    within = ["c0", "c1"] if most_lag is None else ["w0", "w1"]
-    ordered = rows.select("key", *names).repartition("key").sortWithinPartitions("key", *within)
+    prints = materialize(sets.groupBy("w0").agg(F.min("n").alias("n"), F.count("*").alias("sets")), "prints")
+    low, high = SEGMENT_BITS
+    size = min(high, max(low, ceil(log2(max(2, prints.count())))))
+    edges = similar_fingerprints(prints.select("w0"), 1, FIRST_BITS, size, key_rows)
+    side = lambda name: prints.select(F.col("w0").alias(f"w{name}"), F.col("n").alias(name))
+    met = edges.select(F.col("a.w0").alias("wa"), F.col("b.w0").alias("wb")).distinct().join(side("a"), "wa").join(side("b"), "wb")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = sets.select("w0", F.col("n").alias("b")).join(side("a"), F.col("w0") == F.col("wa")).where("a < b")
+    found = materialize(met.union(same.select("a", "b")).distinct(), "pairs")
+    release(prints)
+    return found
+
+
+def _shingle_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
+    """Candidates ``a < b``: sets of different classes ``c`` that share a hash of their prefixes, with sizes and bits near enough.
+
+    Hashes of more than ``key_rows`` sets are cut into chunks that meet pairwise. One set in so many that a chunk still
+    counts is asked for those hashes: the number of chunks is layout and changes no pair.
+    """
+    share = max(1, key_rows // 256)
+    asked = sets.where(F.pmod(F.xxhash64(F.lit(2), "n"), F.lit(share)) == 0).select(F.explode("prefix").alias("value"))
+    sizes = asked.groupBy("value").agg((F.count("*") * share).alias("rows")).where(F.col("rows") > key_rows)
+    chunks = materialize(sizes.select("value", F.ceil(F.col("rows") / key_rows).cast("int").alias("chunks")), "chunks")
+    words = word_columns(KEY_WORDS)
+    rows = sets.select("n", "c", "size", *words, F.explode("prefix").alias("value"))
+    own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64(F.col("value"), F.least(own, x), F.greatest(own, x))
+    )
+    keyed = rows.join(chunks, "value", "left").withColumn("key", F.explode(F.coalesce(others, F.array("value"))))
+    ordered = keyed.select("key", "n", "c", "size", *words).repartition("key").sortWithinPartitions("key", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in whole_keys(batches, "key", HELD_ROWS):
-            pairs = _near(piece["key"], *(np.stack([piece[f"{n}{i}"] for i in range(2)], axis=1) for n in "swc"), most_lag)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], names=["a0", "a1", "b0", "b1"])
+            bits = np.stack([piece[w] for w in words], axis=1).view(np.uint64)
+            pairs = _near(piece["key"], piece["n"], piece["c"], piece["size"], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(2)], names=["a", "b"])
 
-    found = ordered.mapInArrow(run, "a0 bigint, a1 bigint, b0 bigint, b1 bigint").distinct()
-    side = lambda name: F.struct(F.col(f"{name}0").alias("s0"), F.col(f"{name}1").alias("s1")).alias(name)
-    return found.select(side("a"), side("b"))
+    found = materialize(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    release(chunks)
+    return found
 
 
-def _near(key: np.ndarray, sets: np.ndarray, bits: np.ndarray, classes: np.ndarray, most_lag: int | None) -> np.ndarray:
-    """Distinct pairs of sets among rows of equal key (sorted) whose classes differ and whose bits are near.
+def _near(key: np.ndarray, number: np.ndarray, classes: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Distinct pairs among rows of equal key (sorted) whose classes differ and whose sizes and bits are near.
 
     Rows of a class are together within a key, and each row meets those after its class only.
     """
-    bits, found = bits.view(np.uint64), []
+    (part, whole), found = LINKED, []
     key_end = np.searchsorted(key, key, side="right")
-    starts = np.flatnonzero((key[1:] != key[:-1]) | (classes[1:] != classes[:-1]).any(axis=1)) + 1
+    starts = np.flatnonzero((key[1:] != key[:-1]) | (classes[1:] != classes[:-1])) + 1
     class_end = np.append(starts, len(key))[np.searchsorted(starts, np.arange(len(key)), side="right")]
     left, lag = np.arange(len(key)), 0
-    while most_lag is None or lag < most_lag:
+    while True:
         left = left[class_end[left] + lag < key_end[left]]
         if not len(left):
             break
         right = class_end[left] + lag
         lag += 1
-        close = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= CANDIDATE_BITS
-        near = left[close]
-        if len(near):
-            a, b = sets[near], sets[right[close]]
-            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-            a[swap], b[swap] = b[swap], a[swap]
-            found.append(np.hstack([a, b]))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), dtype=np.int64)
-
-
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
+        close = np.minimum(size[left], size[right]) * whole >= np.maximum(size[left], size[right]) * part
+        close &= np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= MOST_BITS[KEY_WORDS]
+        if close.any():
+            pair = np.stack([number[left[close]], number[right[close]]], axis=1)
+            found.append(np.sort(pair, axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+
+
+def _linked_by_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` whose similarity reaches the threshold, with the pair of blocks ``g`` in which they were compared.
+
+    ``sets`` has ``n`` and an array ``v``. Each pair of blocks is a group of its own, which gets each set that a pair
+    in it needs once.
+    """
+    block = lambda name: F.floor(F.col(name) / BLOCK_SETS)
+    placed = pairs.select("a", "b", F.xxhash64(block("a"), block("b")).alias("g"))
+    needed = placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("n")).distinct()
+
+    def compare(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("n")
+        numbers = held["n"].to_numpy()
+        a, b = (np.searchsorted(numbers, pairs[side].to_numpy()) for side in "ab")
+        return pairs[_sets_near([np.asarray(v) for v in held["v"]], a, b)]
+
+    sides = placed.groupBy("g").cogroup(needed.join(sets, "n").select("h", "n", "v").groupBy("h"))
+    return sides.applyInPandas(compare, "a bigint, b bigint, g bigint")
+
+
+def _sets_near(values: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets at places ``a`` and ``b`` have a Jaccard similarity of at least the threshold."""
     part, whole = LINKED
-    node = F.struct("s0", "s1")
-    nodes = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
-    named = distinct.select(node.alias("n"), "t.t0", "t.t1").join(nodes, "n")
+    sizes = np.array([len(v) for v in values])
+    _, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    several = count > 1
+    column = np.where(several, np.cumsum(several) - 1, -1)[place.reshape(-1)]
+    row = np.repeat(np.arange(len(values)), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(values), len(values)), dtype=np.float64)
+    for start in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        held = np.zeros((len(values), COLUMNS), dtype=np.float32)
+        held[row[lo:hi], column[lo:hi] - start] = 1
+        shared += held @ held.T
+    # shared / (all - shared) >= part / whole
+    return shared[a, b] * (part + whole) >= (sizes[a] + sizes[b]) * part
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """Ties between sets that join the same sets as those ``pairs`` whose Jaccard similarity reaches the threshold."""
+    sketch = lambda side: sets.select(F.col("n").alias(side), *[F.col(w).alias(f"{side}{w}") for w in word_columns(WORDS)])
+    unlike = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in word_columns(WORDS)]
+    met = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
+    near = materialize(met.where(sum(unlike[1:], unlike[0]) <= MOST_BITS[WORDS]).select("a", "b"), "near")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     # Rows of equal text give the same set; one is enough.
+    named = sets.join(nodes, "n").select("n", "t.t0", "t.t1")
     held = docs.select(*_text_key(text), F.col(f"`{text}`").alias("_text")).join(named, ["t0", "t1"])
     held = held.groupBy("n").agg(F.first("_text").alias("_text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(raw, width)).view(np.int64) for raw in texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["n", "set"])
+        found = [np.unique(shingle_hashes(raw, width)).view(np.int64) for raw in texts(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "v"])
 
-    sets = materialize(map_texts(held, work, "n struct<s0: bigint, s1: bigint>, set array<bigint>"), "sets")
-    side = lambda name: sets.select(F.col("n").alias(name), F.col("set").alias(f"_{name}"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    # shared / (all - shared) >= part / whole
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(shared * (part + whole) >= (F.size("_a") + F.size("_b")) * part).select("a", "b")
+    whole = materialize(map_texts(held, work, "n bigint, v array<bigint>"), "sets")
+    links = materialize(tied_to_smallest(_linked_by_blocks(near, whole), "g"), "links")
+    release(near)
+    release(whole)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, key_rows: int = KEY_ROWS) -> DataFrame:
     """One row per input row: id and ``component_id``, the smallest id reachable by links, itself included.
 
     Texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least ``LINKED``. Equal sets are
-    one node. Two sets at the threshold share one of their smallest hashes, by which they meet; of those whose SimHash
-    bits are near, the true sets are compared. A first round joins crowds by few keys, so that the second, by all keys,
-    verifies pairs of different classes only. NULL and empty texts are copies of each other. A row without an id gets
-    its component but gives none its name. Repeated rows stay. An empty table gives an empty table.
+    one node. A first round brings sets together by deletion-variant signatures of their SimHash, about one pair for each
+    member of a crowd of near copies, and joins those whose true sets reach the threshold. Signatures miss pairs whose bits
+    differ in every segment, so a second round brings together what shares one of its smallest hashes (two sets at
+    the threshold do), but of different classes only; of these, the pairs with near bits are compared by their true sets.
+    NULL and empty texts are copies of each other. A row without an id gets its component but gives none its name.
+    Repeated rows stay. An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
-    node = F.struct("s0", "s1")
     prints = materialize(shingle_prints(docs, id_column, text, width), "prints")
+    words = word_columns(WORDS)
     grouped = prints.groupBy("s0", "s1").agg(
-        F.min(id_column).alias("first"), F.min(F.struct("t0", "t1")).alias("t"), F.first("prefix").alias("prefix"), *[F.first(w).alias(w) for w in word_columns(WORDS)]
+        F.min(id_column).alias("first"), F.min(F.struct("t0", "t1")).alias("t"), F.first("size").alias("size"),
+        F.first("prefix").alias("prefix"), *[F.first(w).alias(w) for w in words],
     )
     distinct = materialize(grouped, "distinct")
-    alone = distinct.withColumn("c", node).withColumn("keys", F.slice("prefix", 1, FIRST_KEYS))
-    pairs = materialize(_candidates(alone, key_rows, most_lag=2), "pairs")
-    links = materialize(_verified(pairs, distinct, docs, text, width), "links")
-    roots = materialize(connected_components(links), "roots")
-    joined = distinct.withColumn("node", node).join(roots, "node", "left")
-    classed = materialize(joined.select("s0", "s1", "w0", "w1", F.coalesce("root", "node").alias("c"), F.col("prefix").alias("keys")), "classed")
-    pairs = materialize(_candidates(classed, key_rows), "pairs")
-    links = materialize(links.union(_verified(pairs, distinct, docs, text, width)), "links")
-    roots = materialize(connected_components(links), "roots")
-    named = distinct.select("s0", "s1", "first", node.alias("node")).join(roots, "node", "left")
-    named = materialize(named.select("s0", "s1", "first", F.coalesce("root", "node").alias("root")), "classes")
+    # Numbers follow the smallest hash, so that most sets of a crowd share few blocks.
+    ordered = distinct.orderBy(F.get("prefix", F.lit(0)), "s0", "s1").withColumn("n", F.monotonically_increasing_id())
+    sets = materialize(ordered, "numbered")
+    release(distinct)
+    pairs = _signature_pairs(sets, key_rows)
+    first = _verified(pairs, sets, docs, text, width)
+    release(pairs)
+    roots = materialize(connected_components(first), "roots")
+    joined = sets.select("n", "size", *word_columns(KEY_WORDS), "prefix").join(roots, sets["n"] == roots["node"], "left")
+    classed = materialize(joined.withColumn("c", F.coalesce("root", "n")).drop("node", "root"), "classed")
+    release(roots)
+    pairs = _shingle_pairs(classed, key_rows)
+    release(classed)
+    second = _verified(pairs, sets, docs, text, width)
+    release(pairs)
+    roots = materialize(connected_components(first.union(second)), "roots")
+    named = sets.select("s0", "s1", "first", "n").join(roots, sets["n"] == roots["node"], "left")
+    named = materialize(named.select("s0", "s1", "first", F.coalesce("root", "n").alias("root")), "classes")
+    release(first)
+    release(second)
+    release(sets)
     several = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     classes = named.join(several, "root", "left").select("s0", "s1", F.coalesce("component_id", "first").alias("component_id"))
     return prints.join(classes, ["s0", "s1"]).select(id_column, "component_id")

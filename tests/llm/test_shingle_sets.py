@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -84,3 +85,26 @@ def test_rows_without_id_and_empty_table(spark):
     got = shingle_sets.jaccard_classes(df).collect()
     assert Counter(map(tuple, got)) == Counter([(None, 3), (3, 3), (3, 3), (None, None)])
     assert shingle_sets.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_crowd_of_loose_copies(spark):
+    """Many copies of one text with words changed, whose pairs lie on both sides of the similarity, by a matrix of all sets."""
+    draw = random.Random(9)
+    base = [f"w{draw.random()}" for _ in range(150)]
+    texts = [" ".join(w if draw.random() > 0.02 else f"v{draw.random()}" for w in base) for _ in range(2000)]
+    got = shingle_sets.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [plain_set(t) for t in texts]
+    often = [s for s, n in Counter(s for one in sets for s in one).items() if n > 1]
+    place = {s: i for i, s in enumerate(often)}
+    held = np.zeros((len(sets), len(often)), dtype=np.float32)
+    for i, one in enumerate(sets):
+        held[i, [place[s] for s in one if s in place]] = 1
+    size, shared = np.array([len(s) for s in sets]), held @ held.T
+    link, root = 9 * shared >= 4 * (size[:, None] + size[None, :]), np.arange(len(sets))
+    while True:
+        least = np.where(link, root[None, :], len(sets)).min(axis=1)
+        if (np.minimum(least, root) == root).all():
+            break
+        root = np.minimum(least, root)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
+    assert max(Counter(root.tolist()).values()) > 20
