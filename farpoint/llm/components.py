@@ -36,6 +36,20 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return current.select(u.alias("node"), v.alias("root")).union(roots).distinct()
 
 
+def smallest_ties(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every node of the edges but the smallest of each component: that smallest node, and the node."""
+    nodes, places = np.unique(np.stack([left, right], axis=1), return_inverse=True)
+    a, b = places.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[tied]], nodes[tied]
+
+
 def tied_to_smallest(edges: DataFrame, group: str, left: str = "a", right: str = "b") -> DataFrame:
     """Edges (``a``, ``b``) that tie each node to the smallest node its edges of the same ``group`` reach.
 
@@ -45,16 +59,7 @@ def tied_to_smallest(edges: DataFrame, group: str, left: str = "a", right: str =
     """
 
     def tie(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, places = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-        a, b = places.reshape(-1, 2).T
-        root = np.arange(len(nodes))
-        while (apart := root[a] != root[b]).any():
-            x, y = root[a[apart]], root[b[apart]]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
-        tied = np.flatnonzero(root != np.arange(len(nodes)))
-        return pd.DataFrame({"a": nodes[root[tied]], "b": nodes[tied]})
+        return pd.DataFrame(dict(zip("ab", smallest_ties(pdf["a"].to_numpy(), pdf["b"].to_numpy()))))
 
     named = edges.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(group).alias("_group"))
     return named.groupBy("_group").applyInPandas(tie, "a bigint, b bigint")

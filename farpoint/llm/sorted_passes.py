@@ -7,14 +7,14 @@ from math import acos, ceil, log, log2, pi
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpoint.llm.arrow import map_texts
-from farpoint.llm.components import connected_components, tied_to_smallest
+from farpoint.llm.components import connected_components, smallest_ties, tied_to_smallest
 from farpoint.llm.vectors import matrix, usable, usable_rows
 from farpoint.operators.numbering import number_rows
-from farpoint.session import materialize
+from farpoint.session import materialize, release
 
 SEED = 11
 BITS = 64
@@ -24,17 +24,22 @@ WINDOW = 16
 BLOCK = 4096
 # Chance to miss a pair whose cosine is just the threshold.
 MISS = 0.01
-# Vectors of one class that a task compares with each other at a time.
+# Hashes that runs of equal prefixes may be longer than for even rows, where crowds ask for it.
+DEEPER = range(0, 17, 4)
+# Comparisons of vectors in a run that take about as long as one row in one pass.
+ROW_COST = 2000
+# Vectors of one class or run that a task compares with each other at a time.
 CHUNK = 1024
 
 
-def passes_needed(rows: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has met in a window but for a chance of ``miss``.
+def even_depth(rows: int, window: int = WINDOW) -> int:
+    """Leading hashes that no more than a window of rows shares, were the rows spread evenly."""
+    return max(0, ceil(log2(max(rows, 1) / window)))
 
-    Two vectors meet if they agree on so many leading hashes that no more than a window of rows does. The
-    number grows with the logarithm of the rows.
-    """
-    agree = (1 - acos(min(1.0, threshold)) / pi) ** max(0.0, log2(max(rows, 1) / window))
+
+def passes_needed(depth: int, threshold: float, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold has agreed on ``depth`` leading hashes but for a chance of ``miss``."""
+    agree = (1 - acos(min(1.0, threshold)) / pi) ** depth
     return 1 if agree >= 1 else max(1, ceil(log(miss) / log(1 - agree)))
 
 
@@ -96,6 +101,72 @@ def _window_pairs(codes: DataFrame, window: int, block: int, most_bits: int) ->
     return met.groupBy("a", "b").agg(F.min("home").alias("home"))
 
 
+def _run(depth: int) -> Column:
+    return F.lit(0).cast("bigint") if depth == 0 else F.shiftrightunsigned("_code", BITS - depth)
+
+
+def _measured_depth(codes: DataFrame, rows: int, threshold: float, window: int, miss: float) -> int:
+    """Leading hashes of a run: as many as make the pairs of all runs and the rows of all passes cheapest together.
+
+    ``codes`` has one pass over all rows and their classes. Rows alike but below the threshold crowd in few runs; longer
+    prefixes part them and ask for more passes.
+    """
+    even = even_depth(rows, window)
+    depths = [even + d for d in DEEPER if even + d < BITS]
+    choices = F.array(*[F.struct(F.lit(d).alias("_depth"), _run(d).alias("_run")) for d in depths])
+    runs = codes.select("_length", "_class", F.explode(choices).alias("_r")).groupBy("_length", "_r", "_class").agg(F.count("*").alias("n"))
+    runs = runs.groupBy("_length", "_r").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    pairs = runs.groupBy(F.col("_r._depth").alias("depth")).agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+    found = {row["depth"]: row["pairs"] for row in pairs.collect()}
+    return min(depths, key=lambda d: passes_needed(d, threshold, miss) * (ROW_COST * rows + found.get(d, 0.0)))
+
+
+def _run_links(codes: DataFrame, vectors: DataFrame, depth: int, threshold: float, window: int, chunk: int) -> DataFrame | None:
+    """Ties ``a``, ``b`` between classes with linked members in one run; None if windows have seen all runs.
+
+    A run is the rows of a pass that share ``depth`` leading hashes. Rows of a run that fits a window have met there. Of
+    larger runs, every two rows of different classes are compared: chunks meet pairwise, each pair in a group of its
+    own. A class of more than a chunk has chunks of its own, which don't meet each other.
+    """
+    keys = ["_pass", "_length", "_run"]
+    rows = codes.select("_pass", "_length", _run(depth).alias("_run"), "_id", "_class")
+    classes = rows.groupBy(*keys, "_class").agg(F.count("*").alias("_n"))
+    large = F.when(F.col("_n") > chunk, F.ceil(F.col("_n") / chunk)).otherwise(0)
+    runs = classes.groupBy(*keys).agg(
+        F.sum("_n").alias("_rows"), F.count("*").alias("_classes"), F.sum(large).cast("int").alias("_pure"),
+        F.sum(F.when(large == 0, F.col("_n")).otherwise(0)).alias("_others"),
+    )
+    crowded = runs.where((F.col("_rows") > window + 1) & (F.col("_classes") > 1))
+    crowded = materialize(crowded.select(*keys, "_pure", F.ceil(F.col("_others") / chunk).cast("int").alias("_mixed")), "runs")
+    if crowded.isEmpty():
+        release(crowded)
+        return None
+    before = Window.partitionBy(*keys).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    own_chunks = large.cast("int").alias("_chunks")
+    pure = classes.where(large > 0).select(*keys, "_class", own_chunks).withColumn("_start", F.coalesce(F.sum("_chunks").over(before), F.lit(0)))
+    placed = rows.join(crowded, keys).join(pure, [*keys, "_class"], "left")
+    first, hashed = F.col("_mixed") + F.col("_start"), F.xxhash64("_id")
+    own = F.when(first.isNotNull(), first + F.pmod(hashed, F.col("_chunks"))).otherwise(F.pmod(hashed, F.col("_mixed"))).cast("int")
+    every = F.sequence(F.lit(0), F.col("_mixed") + F.col("_pure") - 1)
+    apart = lambda c: F.coalesce((c < first) | (c >= first + F.col("_chunks")), F.lit(True))
+    placed = placed.withColumn("_own", own).withColumn("_other", F.explode(F.filter(every, apart)))
+    meeting = placed.select(*keys, "_own", "_id", "_class", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = (pdf["_own"] == pdf["i"]).to_numpy()
+        second = first if pdf["i"].iloc[0] == pdf["j"].iloc[0] else ~first
+        vectors, group = _unit(matrix(pdf["_v"])), pdf["_class"].to_numpy()
+        left, right = np.nonzero(vectors[first] @ vectors[second].T >= threshold)
+        ends = np.unique(np.stack([group[first][left], group[second][right]], axis=1), axis=0)
+        return pd.DataFrame(dict(zip("ab", smallest_ties(*ends[ends[:, 0] != ends[:, 1]].T))))
+
+    held = meeting.join(vectors.select("_id", "_v"), "_id")
+    ties = held.groupBy(*keys, "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    found = materialize(ties, "ties")
+    release(crowded)
+    return found
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose cosine in double precision reaches the threshold."""
 
@@ -149,6 +220,14 @@ def _class_links(members: DataFrame, threshold: float, chunk: int) -> DataFrame:
     return counted.groupBy("_id").agg(F.sum("_links").alias("_links"))
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links), "roots").select(F.col("node").alias("_id"), "root")
+
+
+def _classed(codes: DataFrame, roots: DataFrame) -> DataFrame:
+    return codes.join(roots, "_id", "left").withColumn("_class", F.coalesce("root", "_id")).drop("root")
+
+
 def near_duplicate_vectors(
     df: DataFrame,
     id_column: str = "vec_id",
@@ -165,40 +244,46 @@ def near_duplicate_vectors(
     Vectors link if their cosine in double precision is at least ``threshold``. Equal vectors are taken
     together first. A first pass sorts by concatenated random hashes and compares each row with the next two, so
     that crowds of near copies become one class early; the further passes compare whole windows, but only
-    rows of different classes, and candidates whose hashes agree enough are verified. Since
-    windows are bounded, the links inside the resulting classes are then counted exactly, chunk by chunk, so
-    a crowd larger than a window loses no link. NULL, empty, zero and non-finite vectors, and rows without an id, link
-    with nothing. Vectors of different lengths never link. Repeated rows count as other vectors. An empty
-    table gives an empty table. Other columns of ``df`` are not read.
+    rows of different classes, and candidates whose hashes agree enough are verified. Where more rows than a window share the
+    leading hashes on which a pair at the threshold agrees in one of the passes, the run is then compared wholly, so a pair
+    is missed with a chance of about ``miss`` however the rows crowd. The links inside the resulting classes are counted
+    exactly, chunk by chunk. NULL, empty, zero and non-finite vectors, and rows without an id, link
+    with nothing. Vectors of different lengths never link. Repeated rows count as other vectors, and so do unlike vectors
+    under one id. An empty table gives an empty table. Other columns of ``df`` are not read.
     """
     hashes = lambda v: [F.xxhash64(v).alias("_h"), F.xxhash64(F.lit(1), v).alias("_k")]
     rows = usable_rows(df, id_column, vector).select("_id", "_v", *hashes("_v"))
-    vectors = rows.groupBy("_h", "_k").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"), F.first("_v").alias("_v"))
-    vectors = materialize(vectors, "vectors")
-    # Copies of an id with unlike vectors are told apart by giving each vector a number of its own.
-    twins = vectors.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not twins.isEmpty():
-        raise ValueError(f"{id_column} names unlike vectors")
-    number = passes_needed(vectors.count(), threshold, window, miss)
+    grouped = rows.groupBy("_h", "_k").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_v").alias("_v"))
+    grouped = materialize(grouped, "grouped")
+    # Numbers follow the ids, so the smallest number of a component belongs to its smallest id.
+    vectors = materialize(grouped.orderBy("_first", "_h", "_k").withColumn("_id", F.monotonically_increasing_id()), "vectors")
+    release(grouped)
+    total = vectors.count()
     angle = acos(min(1.0, threshold)) / pi
     # Bits that a pair at the threshold differs in, and four standard deviations.
     most_bits = ceil(BITS * angle + 4 * (BITS * angle * (1 - angle)) ** 0.5)
 
-    codes = materialize(_codes(vectors, range(number + 1), seed), "codes")
-    first = codes.where("_pass = 0").withColumn("_class", F.col("_id"))
-    links = _verified(_window_pairs(first, 2, block, most_bits), vectors, threshold)
+    first = materialize(_codes(vectors, range(1), seed), "codes")
+    links = _verified(_window_pairs(first.withColumn("_class", F.col("_id")), 2, block, most_bits), vectors, threshold)
     links = materialize(tied_to_smallest(links, "home"), "links")
-    roots = materialize(connected_components(links), "roots").select(F.col("node").alias("_id"), "root")
-    classed = codes.where("_pass > 0").join(roots, "_id", "left").withColumn("_class", F.coalesce("root", "_id")).drop("root")
-    more = _verified(_window_pairs(classed, window, block, most_bits), vectors, threshold)
+    roots = _roots(links)
+    depth = _measured_depth(_classed(first, roots), total, threshold, window, miss)
+    codes = materialize(_codes(vectors, range(1, passes_needed(depth, threshold, miss) + 1), seed), "codes")
+    release(first)
+    more = _verified(_window_pairs(_classed(codes, roots), window, block, most_bits), vectors, threshold)
     links = materialize(links.union(tied_to_smallest(more, "home")), "links")
-    roots = materialize(connected_components(links), "roots").select(F.col("node").alias("_id"), F.col("root").alias("_class"))
-    members = roots.join(vectors, "_id").select("_class", "_id", "_n", "_v")
-    counts = roots.join(_class_links(members, threshold, chunk), "_id").select("_id", "_class", "_links")
-
-    named = vectors.select("_h", "_k", "_id", "_n").join(counts, "_id", "left")
+    roots = _roots(links)
+    last = _run_links(_classed(codes, roots), vectors, depth, threshold, window, chunk)
+    release(codes)
+    if last is not None:
+        roots = _roots(links.union(last))
+    members = roots.join(vectors, "_id").select(F.col("root").alias("_class"), "_id", "_n", "_v")
+    counted = roots.join(_class_links(members, threshold, chunk), "_id").select("_id", "root", "_links")
+    counts = counted.join(vectors.select(F.col("_id").alias("root"), F.col("_first").alias("_class")), "root").drop("root")
+
+    named = vectors.select("_h", "_k", "_first", "_id", "_n").join(counts, "_id", "left")
     own = F.coalesce("_links", F.lit(0)) + F.col("_n") - 1
-    found = named.select("_h", "_k", own.alias("_links"), F.coalesce("_class", "_id").alias("_class"))
+    found = named.select("_h", "_k", own.alias("_links"), F.coalesce("_class", "_first").alias("_class"))
     key = F.col(f"`{id_column}`")
     used = F.col("_id").isNotNull() & F.col("_use")
     every = df.select(key.cast("bigint").alias("_id"), usable(F.col(f"`{vector}`")).alias("_use"), *hashes(F.col(f"`{vector}`")))

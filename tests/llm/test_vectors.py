@@ -95,3 +95,53 @@ def test_near_duplicate_edge_rows(spark):
     alone = [(i, 0, i, True) for i in (0, 4, 5, 6, 7, 8, 9, 11)] + [(None, 0, None, True)]
     assert got == sorted(alone + [(1, 3, 1, True), (2, 3, 1, False), (10, 3, 1, False), (20, 3, 1, False)], key=str)
     assert sorted_passes.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def crowd(cosine, rows, pairs, dimension=32, seed=3):
+    """Vectors around one direction at about ``cosine`` with each other, even ones, and near pairs inside the crowd."""
+    draw = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(draw.standard_normal(dimension))
+
+    def around(number):
+        away = draw.standard_normal((number, dimension))
+        return centre * cosine**0.5 + unit(away - np.outer(away @ centre, centre)) * (1 - cosine) ** 0.5
+
+    chosen = around(pairs)
+    away = draw.standard_normal((pairs, dimension))
+    away = unit(away - np.einsum("ij,ij->i", away, chosen)[:, None] * chosen)
+    data = np.concatenate([around(rows), chosen, chosen * 0.956 + away * (1 - 0.956**2) ** 0.5, draw.standard_normal((2 * rows, dimension))])
+    return data[draw.permutation(len(data))]
+
+
+@pytest.mark.parametrize("cosine", [0.7, 0.85, 0.9])
+def test_crowd_below_the_threshold(spark, cosine):
+    data = crowd(cosine, 1500, 100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicate_vectors(df).collect()}
+    links, roots = plain_links(list(range(len(data))), data)
+    assert links.sum() >= 200
+    assert sum(n for n, _ in got.values()) >= 0.98 * links.sum()
+    assert all(got[i][0] <= links[i] for i in got)
+    assert sum(got[i][1] != roots[i] for i in got) <= 0.02 * links.sum()
+
+
+@pytest.mark.parametrize("chunk", [50, 1000])
+def test_runs_of_classes_and_single_rows(spark, chunk):
+    """Every two classes of a long run that link are tied, whether they have chunks of their own or share some."""
+    data = np.concatenate([crowd(0.9, 150, 20, 16), np.repeat(crowd(0.9, 1, 0, 16)[:1], 120, axis=0) + np.random.default_rng(1).normal(0, 0.01, (120, 16))])
+    rows = [(i, 1, 16, 0, i if i < len(data) - 120 else len(data) - 120, v.tolist()) for i, v in enumerate(data)]
+    df = spark.createDataFrame(rows, "_id long, _pass int, _length int, _code long, _class long, _v array<double>")
+    got = sorted_passes._run_links(df.drop("_v"), df.select("_id", "_v"), 0, 0.95, 16, chunk)
+    from farpoint.llm.components import connected_components
+
+    found = {r.node: r.root for r in connected_components(got).collect()}
+    _, roots = plain_links(list(range(len(data))), data)
+    for r in rows:
+        assert found.get(r[4], r[4]) == roots[r[0]]
+
+
+def test_unlike_vectors_under_one_id(spark):
+    df = spark.createDataFrame([(3, [1.0, 0.0]), (3, [0.0, 1.0]), (5, [1.0, 0.01]), (1, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in sorted_passes.near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (3, 1, 1, False), (3, 1, 3, True), (5, 1, 3, False)]
