@@ -21,6 +21,8 @@ WIDTH = 1.0
 DEVIATIONS = 1.645
 # Radii of virtual rehashing: the first one and the factor between them; distances are at most 2.
 FIRST_RADIUS, GROWTH = 0.3, 1.2
+# Windows that gain more than one place in so many are counted by comparison.
+DENSE_SHARE = 32
 # Rows of the index and queries that a task holds.
 INDEX_ROWS, QUERY_ROWS = 16_384, 1024
 
@@ -54,6 +56,10 @@ class BlockIndex:
         hashed = scaled @ self.directions[:-1] + rest[:, None] * self.directions[-1]
         self.order = np.argsort(hashed, axis=0, kind="stable").astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(hashed.T, self.order, axis=1)
+        # Place of each row in each sorted array, in the narrowest type that holds a window of the whole block.
+        places = np.arange(len(ids), dtype=np.min_scalar_type(len(ids)))
+        self.place = np.empty(self.order.shape, dtype=places.dtype)
+        np.put_along_axis(self.place, self.order, places[None, :], axis=1)
         self.threshold = collision_threshold(projections)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -75,23 +81,37 @@ class BlockIndex:
         for q, query in enumerate(queries):
             yield query_ids[q], *self._one(query_ids[q], query, length[q], low[:, q], high[:, q], steps, k)
 
+    def _count(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray, lower: np.ndarray | None, higher: np.ndarray | None) -> None:
+        """Bring each row's number of collisions from the windows ``lower`` to ``higher`` to those from ``low`` to ``high``.
+
+        Narrow windows visit what they gain in the sorted arrays. Where they gain more than a share of the block, each row's place
+        is compared with the bounds instead, which reads memory in order and gives the same counts.
+        """
+        if lower is None:
+            lower = higher = low
+        if (high - low - (higher - lower)).sum() * DENSE_SHARE < self.place.size:
+            for order, a, b, c, d in zip(self.order, low, lower, higher, high):
+                counts[order[a:b]] += 1
+                counts[order[c:d]] += 1
+            return
+        counts[:] = 0
+        # Below the lower bound the difference wraps around and is larger than any width.
+        away, inside = np.empty_like(self.place[0]), np.empty(len(counts), dtype=bool)
+        for place, a, b in zip(self.place, low.astype(self.place.dtype), (high - low).astype(self.place.dtype)):
+            np.subtract(place, a, out=away)
+            np.less(away, b, out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+
     def _one(self, own: int, query: np.ndarray, length: float, low: np.ndarray, high: np.ndarray, steps: list[float], k: int):
-        counts = np.zeros(len(self.ids), dtype=np.int16)
-        counts[self.ids == own] = -30_000
-        verified = counts < 0
+        verified = self.ids == own
+        counts = np.zeros(len(self.ids), dtype=np.min_scalar_type(len(self.order)))
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
         for step, radius in enumerate(steps):
-            for p, order in enumerate(self.order):
-                a, b = low[p, step], high[p, step]
-                if step == 0:
-                    counts[order[a:b]] += 1
-                else:
-                    counts[order[a : low[p, step - 1]]] += 1
-                    counts[order[high[p, step - 1] : b]] += 1
+            self._count(counts, low[:, step], high[:, step], *((low[:, step - 1], high[:, step - 1]) if step else (None, None)))
             fresh = np.flatnonzero((counts >= self.threshold) & ~verified)
             if len(fresh):
                 verified[fresh] = True
-                score = self.rows[fresh] @ query
+                score = np.take(self.rows, fresh, axis=0) @ query
                 best_ids, best = nearest(np.concatenate([best_ids, self.ids[fresh]]), np.concatenate([best, score]), k)
             if len(best) >= k:
                 distance = sqrt(max(0.0, 2 - 2 * best[k - 1] / (length * self.longest)))
