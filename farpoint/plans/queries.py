@@ -12,6 +12,7 @@ from farpoint.functions.boxes import boxes_intersect, less_than, more_than
 from farpoint.functions.distance import mixed_distance, vector_distance, within
 from farpoint.functions.status import expiry, total_of_map
 from farpoint.operators import boxes as bx
+from farpoint.operators import anchor_tree as tree
 from farpoint.operators import cells, clean, evidence, neighbors, numbering, pivots, ranges, windows
 from farpoint.operators.sweep import sweep
 from farpoint.plans import tables as t
@@ -292,6 +293,13 @@ def pivot_range_join(spark, sf):
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
+@query
+def anchor_tree_join(spark, sf):
+    anchors = t.label_anchors(spark, sf)
+    pairs = tree.anchor_tree_join(t.vectors(spark, sf), anchors, "vec_id", "embedding", VECTOR_RADIUS)
+    return pairs.withColumn("distance", F.round("distance", 6))
+
+
 @query
 def assign_pivots(spark, sf):
     found = pivots.assign_pivots(t.vectors(spark, sf), t.label_anchors(spark, sf), "vec_id", "embedding")

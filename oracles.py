@@ -294,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
             ON a.event_type = b.event_type AND {EVENT_DIST} <= {q.SELF_RADIUS}""",
         "range_join_vec": VECTOR_PAIRS,
         "pivot_range_join": VECTOR_PAIRS,
+        "anchor_tree_join": VECTOR_PAIRS,
         "farthest_first_pivots": _farthest_first(8),
         "neighbor_counts": _line_counts(),
         "neighbor_counts_capped": _line_counts(6),
