@@ -275,7 +275,7 @@ def near_duplicate_vectors(
     roots = _roots(links)
     last = _run_links(_classed(codes, roots), vectors, depth, threshold, window, chunk)
     release(codes)
-    if last is not None:
+    if last is not None and not last.isEmpty():
         roots = _roots(links.union(last))
     members = roots.join(vectors, "_id").select(F.col("root").alias("_class"), "_id", "_n", "_v")
     counted = roots.join(_class_links(members, threshold, chunk), "_id").select("_id", "root", "_links")
