@@ -123,3 +123,17 @@ def _by_part(df):
     for r in df.collect():
         parts.setdefault(r.part, []).append(r)
     return parts
+
+
+def test_many_numeric_attributes_are_compared_by_matrix_products(spark):
+    rng = np.random.default_rng(3)
+    points = (rng.integers(0, 3, (80, 9)) / 4).astype(float)
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)] + [(80, None, *[0.0] * 8), (81, float("nan"), *[0.0] * 8), (82, float("inf"), *[0.0] * 8)]
+    dims = [Attr(f"v{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{a.name} double" for a in dims)).repartition(3)
+    for group_rows in (10_000, 17):
+        joined = ranges.range_join(df, df, "id", dims, 0.75, group_rows=group_rows)
+        assert "FlatMapCoGroupsInPandas" in joined._jdf.queryExecution().executedPlan().toString()
+        got = {(r.id, r.nb_id): r.distance for r in joined.collect()}
+        exact = lambda a, b: sum((x - y) ** 2 for x, y in zip(points[a], points[b])) ** 0.5
+        assert got == {(a, b): exact(a, b) for a in range(80) for b in range(80) if a != b and exact(a, b) <= 0.75}
