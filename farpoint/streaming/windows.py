@@ -103,7 +103,7 @@ class StreamJob:
         numbered = number_rows(marked.where("NOT _late").select(*self.columns), self.order, self.key)
         old, new = self._merge(numbered, tail, known)
 
-        counts = self._counts(old, new)
+        counts = self._counts(old, new, numbered.count() + (0 if tail is None else tail.count()))
         kept_counts = SlideCounts(materialize(counts.df, "counts"), counts.place, counts.point)
         status = observed(self._windows(kept_counts), f"batch_{batch_id}")
         status.write.mode("overwrite").parquet(self.path("windows", batch_id))
@@ -165,11 +165,11 @@ class StreamJob:
     def _carried(self) -> list[str]:
         return [*[c for c in self.identity if c not in self.key], "_seen"]
 
-    def _counts(self, old: DataFrame | None, new: DataFrame) -> SlideCounts:
+    def _counts(self, old: DataFrame | None, new: DataFrame, rows: int) -> SlideCounts:
         """Counts per slide of kept and new points: what kept points have, and what pairs with a new point add.
 
         New points are searched for among kept and new ones, kept points among new ones only; which of them is
-        meant is part of the join key.
+        meant is part of the join key. ``rows`` is the number of all points.
         """
         points = new.withColumn("_new", F.lit(True))
         probes = points
@@ -179,7 +179,7 @@ class StreamJob:
             kept = old.drop("_counts")
             points = points.unionByName(kept.withColumn("_new", F.lit(False)))
             probes = new.withColumn("_new", F.explode(F.array(F.lit(True), F.lit(False)))).unionByName(kept.withColumn("_new", F.lit(True)))
-        pairs = block_pairs(points, self.spec, self.attrs, self.params.radius, [*self.key, "_new"], self._carried, probes=probes)
+        pairs = block_pairs(points, self.spec, self.attrs, self.params.radius, [*self.key, "_new"], self._carried, probes=probes, rows=rows)
         counts = count_slides(pairs).df.select(*point, "nb_slide", "_near")
         if old is not None:
             had = old.withColumn("slide_id", slide_of("seq", self.spec)).select(*point, F.explode("_counts").alias("_c"))

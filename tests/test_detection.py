@@ -234,3 +234,12 @@ def test_neighbour_join_needs_two_shuffles_and_no_nested_loop(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_of_the_neighbour_search_grow_with_the_points(spark, monkeypatch):
+    points = numbered(spark, [{"v": float(i % 7)} for i in range(600)])
+    few = neighbors.block_pairs(points, WindowSpec(40, 20), V, 1.0).df
+    rows = sorted(tuple(r) for r in few.collect())
+    monkeypatch.setattr("farpoint.operators.neighbors.TASK_POINTS", 20, raising=False)
+    many = neighbors.block_pairs(points, WindowSpec(40, 20), V, 1.0).df
+    assert many.rdd.getNumPartitions() >= 30 and sorted(tuple(r) for r in many.collect()) == rows
