@@ -97,3 +97,20 @@ def test_illegal_boxes(spark):
     assert sorted(r.id for r in bx.validate_boxes(df, "only").collect()) == [2, 3]
     with pytest.raises(PySparkException, match="illegal bounding box"):
         bx.validate_boxes(df).collect()
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 4])
+def test_hits_are_collected_where_the_query_is(spark, group_rows, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, x, y, x + 1 + r.randint(0, 3), y + 1 + r.randint(0, 5)) for i in range(60) for x, y in [(r.randint(-20, 20), r.randint(-9, 9))]]
+    rows += [rows[7], (9, 500, 500, 501, 501), (None, 0, 0, 2, 2), (200, None, 0, 2, 2), (201, 900, 0, 901, 2), (202, 5, 5, 3, 9)]
+    df = spark.createDataFrame(rows, "id bigint, xMin bigint, yMin bigint, xMax bigint, yMax bigint").repartition(3)
+    monkeypatch.setattr(bx, "TASK_PAIRS", 100, raising=False)
+    as_rows = lambda found: sorted((x.id if x.id is not None else -1, tuple(x.hits)) for x in found.collect())
+    apart = bx.box_join(df, df, group_rows=group_rows)
+    near = bx.box_join(df, df, group_rows=group_rows, together=True)
+    assert as_rows(bx.box_hits(near)) == as_rows(bx.box_hits(apart))
+    assert as_rows(bx.box_hits(near, df)) == as_rows(bx.box_hits(apart, df))
+    unique = df.where("id <> 7 AND id <> 9")
+    plan = bx.box_hits(bx.box_join(unique, unique, together=True))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan
