@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import ceil, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ BOX = ["id", *AXES]
 # Pairs that one task compares when it is to hold all hits of its queries.
 TASK_PAIRS = 50_000_000
 _HOME = ["_cx", "_cy", "_ls", "_rs"]
+# Largest cell side whose corners are counted place by place, which bounds the different boxes of a cell, and cells that are counted at a time.
+COUNT_SIDE, COUNT_CELLS = 32, 256
+_CORNERS = [("xMin", "yMin"), ("xMax", "yMax"), ("xMin", "yMax"), ("xMax", "yMin")]
 
 
 def validate_boxes(boxes: DataFrame, on_error: str = "raise") -> DataFrame:
@@ -205,15 +210,113 @@ def box_hits(pairs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
 
 
 def total_hits(boxes: DataFrame, cell: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Number of ordered intersecting pairs; equal boxes are joined once and weighted."""
+    """Number of ordered intersecting pairs; equal boxes are counted once and weighted.
+
+    Boxes with whole coordinates and sides of at most ``COUNT_SIDE`` are counted from their corners, so no pair is formed
+    and the work is linear in the boxes. Others are joined.
+    """
     distinct = materialize(boxes.groupBy(*AXES).agg(F.count("*").alias("n"), F.min("id").alias("id")), "boxes")
-    between = box_join(distinct, distinct, cell, carry=["n"], group_rows=group_rows).select(
-        (F.col("n") * F.col("b_n")).alias("hits")
-    )
+    weighted = lambda pairs: pairs.select((F.col("n") * F.col("b_n")).alias("hits"))
+    joined = lambda left, right: weighted(box_join(left, right, cell, carry=["n"], group_rows=group_rows))
+    side = _count_side(distinct, cell)
+    if side is None:
+        between = joined(distinct, distinct)
+    else:
+        sound = (F.col("xMin") <= F.col("xMax")) & (F.col("yMin") <= F.col("yMax"))
+        upright, turned = distinct.where(sound), distinct.where(~sound)
+        between = _counted_hits(upright, side, group_rows)
+        if not turned.isEmpty():
+            between = between.unionByName(joined(turned, distinct)).unionByName(joined(upright, turned))
     among_equal = distinct.select((F.col("n") * (F.col("n") - 1)).alias("hits"))
     return between.unionByName(among_equal).agg(F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("total_hits"))
 
 
+def _count_side(boxes: DataFrame, cell: int | None) -> int | None:
+    """Side of the cells in which corners are counted: a power of two no box is wider than; None if that does not apply."""
+    if not all(dict(boxes.dtypes)[a] in ("tinyint", "smallint", "int", "bigint") for a in AXES):
+        return None
+    cell, top = _grid(boxes, boxes, cell)
+    side = cell << top
+    return side if side <= COUNT_SIDE else None
+
+
+def _counted_hits(distinct: DataFrame, side: int, group_rows: int) -> DataFrame:
+    """``hits`` whose sum is the number of pairs between upright boxes of different ids, each pair weighted by ``n`` of both."""
+    marked = _marked(distinct.where("id IS NOT NULL"))
+    # Pairs of one id do not count; most often these are boxes with themselves.
+    alone = marked.where("NOT _several").select((-F.col("n") * F.col("n")).alias("hits"))
+    several = marked.where("_several").drop("_several").withColumn("_row", F.xxhash64(*AXES))
+    others = several.select(*[F.col(c).alias("id" if c == "id" else f"b_{c}") for c in several.columns])
+    own = salted_join(several, others, ["id"], "_row", "b__row", group_rows).where(regions_intersect())
+    own = own.select((-F.col("n") * F.col("b_n")).alias("hits"))
+    return _in_places(marked, side).mapInArrow(_hits_of_cells(side), "hits bigint").unionByName(alone).unionByName(own)
+
+
+def _in_places(boxes: DataFrame, side: int) -> DataFrame:
+    """Boxes in each cell they cover, in order of the cells, with ``_at``: the places of their sides in the cell.
+
+    Places outside are one place before and one after the cell on each axis.
+    """
+    placed = _in_cells(boxes, 0, True, side)
+    inside = lambda axis, c: F.greatest(F.least(F.col(axis) - F.col(c) * side, F.lit(side)), F.lit(-1)) + 1
+    at = F.lit(0)
+    for axis in AXES:
+        at = at * (side + 2) + inside(axis, "_cx" if axis[0] == "x" else "_cy")
+    return placed.select("_cx", "_cy", at.cast("int").alias("_at"), "n").repartition("_cx", "_cy").sortWithinPartitions("_cx", "_cy")
+
+
+def _hits_of_cells(side: int):
+    """A function from boxes in places to the number of ordered pairs, a box with itself included, each in the cell of its intersection's lower left corner.
+
+    Boxes that cover a cell and meet each other also meet in it. Pairs that meet are all pairs less those apart on an axis, plus those apart on
+    both. Of these, pairs that both come from the left, or both from below, belong to a cell before.
+    """
+    places = side + 2
+
+    def below(counts: np.ndarray, axis: int) -> np.ndarray:
+        return np.cumsum(counts, axis=axis) - counts
+
+    def apart(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        return 2 * (lower * below(upper, 1)).sum(axis=1)
+
+    def hits(counts: np.ndarray) -> int:
+        low, high, low_high, high_low = np.moveaxis(counts.reshape(-1, len(_CORNERS), places, places), 1, 0)
+        both = (low * below(below(high, 1), 2)).sum(axis=(1, 2))
+        above = below(high_low[:, :, ::-1], 2)[:, :, ::-1]
+        both = 2 * (both + (low_high * below(above, 1)).sum(axis=(1, 2)))
+        met = low.sum(axis=(1, 2)) ** 2 - apart(low.sum(axis=2), high.sum(axis=2)) - apart(low.sum(axis=1), high.sum(axis=1)) + both
+        left = low[:, 0, :].sum(axis=1) ** 2 - apart(low[:, 0, :], low_high[:, 0, :])
+        under = low[:, :, 0].sum(axis=1) ** 2 - apart(low[:, :, 0], high_low[:, :, 0])
+        return int((met - left - under + low[:, 0, 0] ** 2).sum())
+
+    def corners(cell: np.ndarray, cells: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many boxes have a corner at each place of each cell, per kind of corner."""
+        place = dict(zip(reversed(AXES), (at // places**i % places for i in range(len(AXES)))))
+        kinds = [np.bincount((cell * places + place[x]) * places + place[y], n, cells * places**2) for x, y in _CORNERS]
+        return np.stack([kind.reshape(cells, -1) for kind in kinds], axis=1).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, name, held = 0, None, np.zeros((0, len(_CORNERS), places**2), dtype=np.int64)
+        for batch in batches:
+            x, y, at, n = (batch.column(i).to_numpy() for i in range(4))
+            edges = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, [len(x)]])
+            for first in range(0, len(edges) - 1 if len(x) else 0, COUNT_CELLS):
+                last = min(first + COUNT_CELLS, len(edges) - 1)
+                rows = slice(edges[first], edges[last])
+                cell = np.repeat(np.arange(last - first), np.diff(edges[first : last + 1]))
+                counts = corners(cell, last - first, at[rows].astype(np.int64), n[rows])
+                # The last cell may go on in the next rows.
+                if name == (x[rows][0], y[rows][0]):
+                    counts[0] += held[0]
+                else:
+                    total += hits(held)
+                name, held = (x[rows][-1], y[rows][-1]), counts[-1:].copy()
+                total += hits(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([total + hits(held)], pa.int64())], names=["hits"])
+
+    return count
+
+
 def kd_partition(boxes: DataFrame, cutoff: int, group_rows: int = 200_000) -> DataFrame:
     """Add ``leaf_id``: the median split path of the box, with at most ``cutoff`` boxes per leaf.
 
