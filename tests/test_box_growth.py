@@ -44,3 +44,12 @@ def test_wide_boxes_are_joined(spark):
     rows = [*crowd(60, 5), (60, -500, -500, 500, 500)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert bx.total_hits(df).first().total_hits == len(brute.box_pairs(rows))
+
+
+@pytest.mark.parametrize("rows,cell,block", [(crowd(200, 6), None, 2_000), (crowd(200, 7), 4, 7), (odd(crowd(100, 8)), None, 50), ([], None, 50)])
+def test_region_hits_shuffle_no_pairs(spark, rows, cell, block):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = bx.region_hits(df, df, 10, cell, block_queries=block)
+    wanted = bx.box_hits(bx.box_join_regions(df, df, 10, cell))
+    assert got.schema.simpleString() == wanted.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
