@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpoint.operators.pivots import _SLACK, Anchors, _with_home, close_pairs
@@ -15,6 +15,8 @@ from farpoint.session import materialize, release
 
 # Rows measured against a chunk of leaf anchors at a time.
 SLICE = 512
+# Pairs of a product of a leaf's visitors and its points.
+PRODUCT = 1 << 18
 
 
 def _measured(rows: pd.DataFrame, leaves: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
@@ -88,6 +90,14 @@ def anchor_tree(points: DataFrame, pivots: DataFrame, id_column: str, vector: st
     return members, covered
 
 
+def _in_bundles(members: DataFrame, leaves: DataFrame, group_rows: int) -> DataFrame:
+    """Leaves with ``_part``: consecutive leaves of a cell that hold about ``group_rows`` points together."""
+    sizes = members.groupBy("_leaf").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_cell").orderBy("_leaf")) - F.col("_n")
+    part = F.floor(before / group_rows).alias("_part")
+    return materialize(leaves.join(sizes, "_leaf").select("_cell", part, "_leaf", "_anchor", "_cover"), "bundles")
+
+
 def anchor_tree_join(
     points: DataFrame,
     pivots: DataFrame,
@@ -100,13 +110,15 @@ def anchor_tree_join(
     """All pairs within ``radius``, found through two levels of anchors: id, ``nb_`` id and ``distance``.
 
     By the triangle inequality a point searches an upper cell only if the cell's cover reaches it and its anchor is at
-    most twice the radius farther than the point's own, and in it a leaf on the same two conditions. What is left
-    joins on the leaf, crowded leaves are cut into chunks, and distances to the leaf anchor rule out most
+    most twice the radius farther than the point's own, and in it a leaf on the same two conditions. Leaves of a cell are
+    bundled: a point is sent to a bundle once, however many of its leaves it searches, as in many dimensions these are most of them. Crowded
+    bundles are cut into chunks, and distances to the leaf anchor rule out
     pairs before the exact test. Repeated rows are points of their own, but rows of one id pair only with
     ``include_self``. Points without a usable vector are in no pair. An empty table gives an empty table.
     """
     reach = radius + _SLACK * (1.0 + radius)
     members, leaves = anchor_tree(points, pivots, id_column, vector, group_rows)
+    leaves = _in_bundles(members, leaves, group_rows)
     # One row per upper anchor at most.
     covers = dict(members.groupBy("_cell").agg(F.max(F.get("_dists", F.col("_cell")))).collect())
     cover = F.array(*[F.lit(float(covers.get(i, -1.0))) for i in range(max(covers, default=0) + 1)])
@@ -120,32 +132,60 @@ def anchor_tree_join(
     left, right, keys = salted_sides(asked, leaves, ["_cell"], "_row", "_leaf", group_rows)
 
     def reachable(points: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"_row": [], "_leaf": [], "_dq": []})]
+        found = [pd.DataFrame({"_row": [], "_cell": [], "_part": [], "_leaves": [], "_dqs": []})]
         if len(points) and len(leaves):
-            cover, names = leaves["_cover"].to_numpy(), leaves["_leaf"].to_numpy()
+            leaves = leaves.sort_values(["_part", "_leaf"])
+            cover, names, parts = (leaves[c].to_numpy() for c in ("_cover", "_leaf", "_part"))
             dimension, length = _longest(points["_v"])
             slack = _rounding(dimension, length, _longest(leaves["_anchor"])[1] + float(cover.max()))
             for part, away in _measured(points, leaves):
                 i, j = np.nonzero((away <= cover + reach + slack) & (away <= away.min(axis=1, keepdims=True) + 2 * reach + slack))
-                found.append(pd.DataFrame({"_row": points["_row"].to_numpy()[part][i], "_leaf": names[j], "_dq": away[i, j]}))
+                if not len(i):
+                    continue
+                # In order of row and part: each run of both is one row of the result.
+                starts = np.flatnonzero((i[1:] != i[:-1]) | (parts[j[1:]] != parts[j[:-1]])) + 1
+                first = np.append(0, starts)
+                found.append(pd.DataFrame({
+                    "_row": points["_row"].to_numpy()[part][i[first]], "_cell": leaves["_cell"].iloc[0], "_part": parts[j[first]],
+                    "_leaves": np.split(names[j], starts), "_dqs": np.split(away[i, j], starts),
+                }))
         return pd.concat(found)
 
-    visits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(reachable, "_row bigint, _leaf bigint, _dq double")
+    visit = "_row bigint, _cell int, _part bigint, _leaves array<bigint>, _dqs array<double>"
+    visits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(reachable, visit)
     searches = materialize(visits, "visits").join(members.select("_row", "_id", "_v"), "_row")
     held = members.select("_leaf", F.col("_row").alias("_other"), F.col("_id").alias("_nb"), F.col("_v").alias("_b"), "_d")
-    left, right, keys = salted_sides(searches, held, ["_leaf"], "_row", "_other", group_rows)
+    held = held.join(leaves.select("_leaf", "_cell", "_part"), "_leaf")
+    left, right, keys = salted_sides(searches, held, ["_cell", "_part"], "_row", "_other", group_rows)
+    # The work is in the pairs: partitions must not be joined because their bytes are few.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = points.schema[id_column].dataType.simpleString()
     nb_id = f"nb_{id_column}"
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({id_column: [], nb_id: [], "distance": []})]
         if a.empty or b.empty:
-            return pd.DataFrame({id_column: [], nb_id: [], "distance": []})
-        vectors = [np.stack(side.to_numpy()).astype("float64") for side in (a["_v"], b["_b"])]
+            return found[0]
+        b = b.sort_values("_leaf")
+        x, y = (np.stack(side.to_numpy()).astype("float64") for side in (a["_v"], b["_b"]))
         dimension, length = _longest(a["_v"])
         slack = _rounding(dimension, length, _longest(b["_b"])[1] + float(b["_d"].max()))
-        i, j, distance = close_pairs(*vectors, a["_dq"].to_numpy(), b["_d"].to_numpy(), radius, ring_slack=slack)
-        return pd.DataFrame({id_column: a["_id"].to_numpy()[i], nb_id: b["_nb"].to_numpy()[j], "distance": distance})
+        asked, away = np.concatenate(a["_leaves"].to_numpy()), np.concatenate(a["_dqs"].to_numpy())
+        row = np.repeat(np.arange(len(a)), a["_leaves"].map(len))
+        order = np.argsort(asked, kind="stable")
+        asked, away, row = asked[order], away[order], row[order]
+        ids, others, d = a["_id"].to_numpy(), b["_nb"].to_numpy(), b["_d"].to_numpy()
+        names, first = np.unique(b["_leaf"].to_numpy(), return_index=True)
+        for leaf, low, high in zip(names, first, np.append(first[1:], len(b))):
+            at = slice(*np.searchsorted(asked, [leaf, leaf + 1]))
+            if at.start == at.stop:
+                continue
+            rows = max(SLICE, PRODUCT // (high - low))
+            i, j, distance = close_pairs(x[row[at]], y[low:high], away[at], d[low:high], radius, rows=rows, ring_slack=slack)
+            found.append(pd.DataFrame({id_column: ids[row[at]][i], nb_id: others[low:high][j], "distance": distance}))
+        return pd.concat(found[1:] or found)
 
     schema = f"`{id_column}` {id_type}, `{nb_id}` {id_type}, distance double"
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
+    groups = [side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right)]
+    pairs = groups[0].cogroup(groups[1]).applyInPandas(compare, schema)
     return pairs if include_self else pairs.where(F.col(id_column) != F.col(nb_id))

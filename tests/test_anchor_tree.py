@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from farpoint.operators import anchor_tree as anchor_module
 from farpoint.operators.anchor_tree import anchor_tree, anchor_tree_join
 
 SCHEMA = "id long, v array<double>"
@@ -33,3 +34,18 @@ def test_leaves_and_empty_table(spark):
     for r in found:
         assert r._d == pytest.approx(min(abs(r._v[0] - a[0]) for a in anchors.values()), abs=1e-6)
     assert anchor_tree_join(df.limit(0), df.where("id = 0"), "id", "v", 1.0).count() == 0
+
+
+@pytest.mark.parametrize("group_rows, bundles", [(10_000, 1), (250, 5)])
+def test_a_point_is_sent_once_to_a_bundle_of_leaves(spark, monkeypatch, group_rows, bundles):
+    draw = np.random.default_rng(5)
+    data = draw.standard_normal((600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], SCHEMA)
+    written = {}
+    kept = anchor_module.materialize
+    monkeypatch.setattr(anchor_module, "materialize", lambda frame, label: written.setdefault(label, kept(frame, label)))
+    got = {(r.id, r.nb_id) for r in anchor_tree_join(df, df.where("id = 0"), "id", "v", 4.0, group_rows=group_rows).collect()}
+    away = np.sqrt(((data[:, None] - data[None]) ** 2).sum(axis=2))
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(away <= 4.0)) if i != j}
+    assert written["bundles"].count() > bundles
+    assert written["visits"].count() <= bundles * len(data)
