@@ -23,11 +23,12 @@ LINKED = (4, 5)
 FIRST_BITS = 10
 # Sizes of a segment of the first round; it grows with the logarithm of the number of sets.
 SEGMENT_BITS = (16, 32)
-# SimHash words of a set, and those of them that travel with each key.
-WORDS, KEY_WORDS = 4, 2
-# Unlike bits up to which candidates are verified, by words. A pair at 0.8 differs in 15 % of the bits (19 %, for the
+# SimHash words of a set. All of them travel with each key: by fewer, unlike sets pass that only share a frequent hash, and the number
+# of these pairs grows much faster than the sets.
+WORDS = 4
+# Unlike bits up to which candidates are verified. A pair at 0.8 differs in 15 % of the bits (19 %, for the
 # smallest sets), so fewer than one in a million such pairs differ in more.
-MOST_BITS = {KEY_WORDS: 48, WORDS: 80}
+MOST_BITS = 80
 # Consecutive sets of a block; candidates are compared by pairs of blocks.
 BLOCK_SETS = 128
 # Shared shingles that a task spreads out at a time.
@@ -92,7 +93,7 @@ def _shingle_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
     asked = sets.where(F.pmod(F.xxhash64(F.lit(2), "n"), F.lit(share)) == 0).select(F.explode("prefix").alias("value"))
     sizes = asked.groupBy("value").agg((F.count("*") * share).alias("rows")).where(F.col("rows") > key_rows)
     chunks = materialize(sizes.select("value", F.ceil(F.col("rows") / key_rows).cast("int").alias("chunks")), "chunks")
-    words = word_columns(KEY_WORDS)
+    words = word_columns(WORDS)
     rows = sets.select("n", "c", "size", *words, F.explode("prefix").alias("value"))
     own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
     others = F.transform(
@@ -129,7 +130,7 @@ def _near(key: np.ndarray, number: np.ndarray, classes: np.ndarray, size: np.nda
         right = class_end[left] + lag
         lag += 1
         close = np.minimum(size[left], size[right]) * whole >= np.maximum(size[left], size[right]) * part
-        close &= np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= MOST_BITS[KEY_WORDS]
+        close &= np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= MOST_BITS
         if close.any():
             pair = np.stack([number[left[close]], number[right[close]]], axis=1)
             found.append(np.sort(pair, axis=1))
@@ -182,7 +183,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, wid
     sketch = lambda side: sets.select(F.col("n").alias(side), *[F.col(w).alias(f"{side}{w}") for w in word_columns(WORDS)])
     unlike = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in word_columns(WORDS)]
     met = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-    near = materialize(met.where(sum(unlike[1:], unlike[0]) <= MOST_BITS[WORDS]).select("a", "b"), "near")
+    near = materialize(met.where(sum(unlike[1:], unlike[0]) <= MOST_BITS).select("a", "b"), "near")
     nodes = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     # Rows of equal text give the same set; one is enough.
     named = sets.join(nodes, "n").select("n", "t.t0", "t.t1")
@@ -226,7 +227,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     first = _verified(pairs, sets, docs, text, width)
     release(pairs)
     roots = materialize(connected_components(first), "roots")
-    joined = sets.select("n", "size", *word_columns(KEY_WORDS), "prefix").join(roots, sets["n"] == roots["node"], "left")
+    joined = sets.select("n", "size", *word_columns(WORDS), "prefix").join(roots, sets["n"] == roots["node"], "left")
     classed = materialize(joined.withColumn("c", F.coalesce("root", "n")).drop("node", "root"), "classed")
     release(roots)
     pairs = _shingle_pairs(classed, key_rows)

@@ -108,3 +108,11 @@ def test_crowd_of_loose_copies(spark):
         root = np.minimum(least, root)
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root.tolist()))
     assert max(Counter(root.tolist()).values()) > 20
+
+
+def test_all_words_of_a_sketch_decide_on_candidates(spark):
+    """Sets that share a hash and half of their bits only are no candidates; two words of four let them pass."""
+    rows = [(0, 0, 10, 5, 5, 0, 0, [7]), (1, 1, 10, 5, 5, -1, -1, [7]), (2, 2, 10, 5, 5, 0, 3, [7])]
+    sets = spark.createDataFrame(rows, "n long, c long, size long, w0 long, w1 long, w2 long, w3 long, prefix array<long>")
+    found = shingle_sets._shingle_pairs(sets, shingle_sets.KEY_ROWS)
+    assert [tuple(r) for r in found.collect()] == [(0, 2)]
