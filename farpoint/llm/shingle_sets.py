@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farpoint.llm.arrow import map_texts, texts, whole_keys
-from farpoint.llm.components import connected_components, tied_to_smallest
+from farpoint.llm.components import connected_components, smallest_ties, tied_to_smallest
 from farpoint.llm.simhash import HELD_ROWS, KEY_ROWS, bit_majority, shingle_hashes, similar_fingerprints, word_columns
 from farpoint.session import materialize, release
 
@@ -33,6 +33,9 @@ MOST_BITS = 80
 BLOCK_SETS = 128
 # Shared shingles that a task spreads out at a time.
 COLUMNS = 16_384
+# Sets that meet under one of their rarest shingles in one task; those of a shingle that more of them hold are cut into chunks
+# that meet pairwise.
+GROUP_SETS = 128
 
 
 def shingle_prints(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
@@ -84,28 +87,28 @@ def _signature_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
 
 
 def _shingle_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
-    """Candidates ``a < b``: sets of different classes ``c`` that share a hash of their prefixes, with sizes and bits near enough.
+    """Some candidates ``a < b``, so that each set that has a candidate is in one of these pairs.
 
-    Hashes of more than ``key_rows`` sets are cut into chunks that meet pairwise. One set in so many that a chunk still
-    counts is asked for those hashes: the number of chunks is layout and changes no pair.
+    Candidates are sets of different classes ``c`` that share a hash of their prefixes, with sizes and bits near enough. A
+    task returns no more than two pairs for each row it reads. Hashes of more than ``key_rows`` sets are cut into chunks
+    that meet pairwise. One set in so many that a chunk still counts is asked for those hashes: the number of chunks is
+    layout and changes no candidate.
     """
     share = max(1, key_rows // 256)
     asked = sets.where(F.pmod(F.xxhash64(F.lit(2), "n"), F.lit(share)) == 0).select(F.explode("prefix").alias("value"))
     sizes = asked.groupBy("value").agg((F.count("*") * share).alias("rows")).where(F.col("rows") > key_rows)
     chunks = materialize(sizes.select("value", F.ceil(F.col("rows") / key_rows).cast("int").alias("chunks")), "chunks")
-    words = word_columns(WORDS)
-    rows = sets.select("n", "c", "size", *words, F.explode("prefix").alias("value"))
-    own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64(F.col("value"), F.least(own, x), F.greatest(own, x))
-    )
-    keyed = rows.join(chunks, "value", "left").withColumn("key", F.explode(F.coalesce(others, F.array("value"))))
-    ordered = keyed.select("key", "n", "c", "size", *words).repartition("key").sortWithinPartitions("key", "c")
+    rows = sets.select("n", "c", "size", *word_columns(WORDS), F.posexplode("prefix").alias("place", "value"))
+    ordered = _by_chunks(rows, chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in whole_keys(batches, "key", HELD_ROWS):
-            bits = np.stack([piece[w] for w in words], axis=1).view(np.uint64)
-            pairs = _near(piece["key"], piece["n"], piece["c"], piece["size"], bits)
+            number, node = np.unique(piece["n"], return_inverse=True)
+            met, found = np.zeros(len(number), dtype=bool), [np.zeros((0, 2), dtype=np.int64)]
+            for left, right in _near(piece, lambda i, j: ~(met[node[i]] & met[node[j]])):
+                found.append(np.sort(np.stack([piece["n"][left], piece["n"][right]], axis=1), axis=1))
+                met[node[left]] = met[node[right]] = True
+            pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(2)], names=["a", "b"])
 
     found = materialize(ordered.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
@@ -113,12 +116,26 @@ def _shingle_pairs(sets: DataFrame, key_rows: int) -> DataFrame:
     return found
 
 
-def _near(key: np.ndarray, number: np.ndarray, classes: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Distinct pairs among rows of equal key (sorted) whose classes differ and whose sizes and bits are near.
+def _by_chunks(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` dealt by their ``key`` and sorted by it and the class: their ``value``, or each pair of chunks for the values in ``chunks``."""
+    own = F.pmod(F.xxhash64("n"), F.col("chunks")).cast("int")
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.xxhash64(F.col("value"), F.least(own, x), F.greatest(own, x))
+    )
+    keyed = rows.join(chunks, "value", "left").withColumn("key", F.explode(F.coalesce(others, F.array("value"))))
+    columns = ["key", "n", "c", "size", "place", *word_columns(WORDS)]
+    return keyed.select(*columns).repartition("key").sortWithinPartitions("key", "c")
+
+
+def _near(piece: dict[str, np.ndarray], asked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of equal key (sorted) whose classes differ and whose sizes and bits are near, if ``asked`` for.
 
-    Rows of a class are together within a key, and each row meets those after its class only.
+    The first hash of its prefix that a set shares with another has a ``place`` that leaves room for all they must share; at
+    later ones a pair may be passed over. Rows of a class are together within a key, and each row meets those after its class only.
     """
-    (part, whole), found = LINKED, []
+    (part, whole), key, classes, size = LINKED, piece["key"], piece["c"], piece["size"]
+    bits = np.stack([piece[w] for w in word_columns(WORDS)], axis=1).view(np.uint64)
+    rest = size - piece["place"]
     key_end = np.searchsorted(key, key, side="right")
     starts = np.flatnonzero((key[1:] != key[:-1]) | (classes[1:] != classes[:-1])) + 1
     class_end = np.append(starts, len(key))[np.searchsorted(starts, np.arange(len(key)), side="right")]
@@ -126,15 +143,16 @@ def _near(key: np.ndarray, number: np.ndarray, classes: np.ndarray, size: np.nda
     while True:
         left = left[class_end[left] + lag < key_end[left]]
         if not len(left):
-            break
+            return
         right = class_end[left] + lag
         lag += 1
         close = np.minimum(size[left], size[right]) * whole >= np.maximum(size[left], size[right]) * part
-        close &= np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= MOST_BITS
+        close &= np.minimum(rest[left], rest[right]) * (part + whole) >= (size[left] + size[right]) * part
+        a, b = left[close], right[close]
+        a, b = (x[asked(a, b)] for x in (a, b))
+        close = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= MOST_BITS
         if close.any():
-            pair = np.stack([number[left[close]], number[right[close]]], axis=1)
-            found.append(np.sort(pair, axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield a[close], b[close]
 
 
 def _linked_by_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -151,14 +169,14 @@ def _linked_by_blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         held = held.sort_values("n")
         numbers = held["n"].to_numpy()
         a, b = (np.searchsorted(numbers, pairs[side].to_numpy()) for side in "ab")
-        return pairs[_sets_near([np.asarray(v) for v in held["v"]], a, b)]
+        return pairs[_sets_near([np.asarray(v) for v in held["v"]])[a, b]]
 
     sides = placed.groupBy("g").cogroup(needed.join(sets, "n").select("h", "n", "v").groupBy("h"))
     return sides.applyInPandas(compare, "a bigint, b bigint, g bigint")
 
 
-def _sets_near(values: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sets at places ``a`` and ``b`` have a Jaccard similarity of at least the threshold."""
+def _sets_near(values: list[np.ndarray]) -> np.ndarray:
+    """Whether two of the sets have a Jaccard similarity of at least the threshold, as a matrix."""
     part, whole = LINKED
     sizes = np.array([len(v) for v in values])
     _, place, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
@@ -175,7 +193,7 @@ def _sets_near(values: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
         held[row[lo:hi], column[lo:hi] - start] = 1
         shared += held @ held.T
     # shared / (all - shared) >= part / whole
-    return shared[a, b] * (part + whole) >= (sizes[a] + sizes[b]) * part
+    return shared * (part + whole) >= (sizes[:, None] + sizes[None, :]) * part
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -184,7 +202,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, wid
     unlike = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in word_columns(WORDS)]
     met = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
     near = materialize(met.where(sum(unlike[1:], unlike[0]) <= MOST_BITS).select("a", "b"), "near")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    whole = _sets_of(near, sets, docs, text, width)
+    links = materialize(tied_to_smallest(_linked_by_blocks(near, whole), "g"), "links")
+    release(near)
+    release(whole)
+    return links
+
+
+def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``n`` and the hashes ``v`` of the sets in ``pairs``, made from their texts."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     # Rows of equal text give the same set; one is enough.
     named = sets.join(nodes, "n").select("n", "t.t0", "t.t1")
     held = docs.select(*_text_key(text), F.col(f"`{text}`").alias("_text")).join(named, ["t0", "t1"])
@@ -194,10 +221,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, wid
         found = [np.unique(shingle_hashes(raw, width)).view(np.int64) for raw in texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "v"])
 
-    whole = materialize(map_texts(held, work, "n bigint, v array<bigint>"), "sets")
-    links = materialize(tied_to_smallest(_linked_by_blocks(near, whole), "g"), "links")
-    release(near)
-    release(whole)
+    return materialize(map_texts(held, work, "n bigint, v array<bigint>"), "sets")
+
+
+def _rarest_links(sets: DataFrame, whole: DataFrame) -> DataFrame:
+    """Ties between sets of different classes ``c`` that join the same classes as all their links.
+
+    ``whole`` has ``n`` and the hashes ``v`` of some of the ``sets``, whose links among them are found. Two sets at the
+    threshold share one of their first hashes in any one order. Here the hash that the fewest sets hold comes
+    first, so that sets of a crowd, which share most hashes, meet only if they have few of their own. Sets that meet a near one
+    under a hash are compared by their true sets in a group of that hash, and no pair leaves its group.
+    """
+    (part, of), words = LINKED, word_columns(WORDS)
+    rows = whole.select("n", F.size("v").alias("all"), F.explode("v").alias("value"))
+    often = rows.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("n")
+    # Hashes that no other set holds come before the others.
+    place = F.col("all") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "value")) - 1
+    placed = rows.join(often, "value").select("n", "all", "value", place.alias("place"))
+    first = placed.where(F.col("place") <= F.col("all") - F.ceil(F.col("all") * part / of)).select("n", "place", "value")
+    first = materialize(first.join(sets.select("n", "c", "size", *words), "n"), "rarest")
+    counts = first.groupBy("value").agg(F.count("*").alias("rows")).where(F.col("rows") > GROUP_SETS)
+    ordered = _by_chunks(first, counts.select("value", F.ceil(F.col("rows") / GROUP_SETS).cast("int").alias("chunks")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in whole_keys(batches, "key", HELD_ROWS):
+            met = np.zeros(len(piece["key"]), dtype=bool)
+            for left, right in _near(piece, lambda i, j: ~(met[i] & met[j])):
+                met[left] = met[right] = True
+            yield pa.RecordBatch.from_arrays([pa.array(piece[x][met]) for x in ("key", "n")], names=["g", "n"])
+
+    def compare(held: pd.DataFrame) -> pd.DataFrame:
+        number = held["n"].to_numpy()
+        a, b = np.nonzero(np.triu(_sets_near([np.asarray(v) for v in held["v"]]), 1))
+        return pd.DataFrame(dict(zip("ab", smallest_ties(number[a], number[b]))))
+
+    met = ordered.mapInArrow(run, "g bigint, n bigint")
+    links = materialize(met.join(whole, "n").groupBy("g").applyInPandas(compare, "a bigint, b bigint"), "links")
+    release(first)
     return links
 
 
@@ -207,8 +268,9 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least ``LINKED``. Equal sets are
     one node. A first round brings sets together by deletion-variant signatures of their SimHash, about one pair for each
     member of a crowd of near copies, and joins those whose true sets reach the threshold. Signatures miss pairs whose bits
-    differ in every segment, so a second round brings together what shares one of its smallest hashes (two sets at
-    the threshold do), but of different classes only; of these, the pairs with near bits are compared by their true sets.
+    differ in every segment, so a second round looks for sets that share one of their smallest hashes (two sets at
+    the threshold do) and have near bits, but are of different classes. Those that have such a partner meet anew under their
+    rarest hashes and are compared by their true sets.
     NULL and empty texts are copies of each other. A row without an id gets its component but gives none its name.
     Repeated rows stay. An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
@@ -231,9 +293,11 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classed = materialize(joined.withColumn("c", F.coalesce("root", "n")).drop("node", "root"), "classed")
     release(roots)
     pairs = _shingle_pairs(classed, key_rows)
-    release(classed)
-    second = _verified(pairs, sets, docs, text, width)
+    whole = _sets_of(pairs, sets, docs, text, width)
     release(pairs)
+    second = _rarest_links(classed, whole)
+    release(classed)
+    release(whole)
     roots = materialize(connected_components(first.union(second)), "roots")
     named = sets.select("s0", "s1", "first", "n").join(roots, sets["n"] == roots["node"], "left")
     named = materialize(named.select("s0", "s1", "first", F.coalesce("root", "n").alias("root")), "classes")

@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from farpoint.llm import shingle_sets
+from farpoint.llm.components import connected_components
 
 
 def plain_set(text, width=5):
@@ -116,3 +118,30 @@ def test_all_words_of_a_sketch_decide_on_candidates(spark):
     sets = spark.createDataFrame(rows, "n long, c long, size long, w0 long, w1 long, w2 long, w3 long, prefix array<long>")
     found = shingle_sets._shingle_pairs(sets, shingle_sets.KEY_ROWS)
     assert [tuple(r) for r in found.collect()] == [(0, 2)]
+
+
+def test_pairs_of_a_crowd_grow_with_its_sets(spark):
+    """Sets of different classes that are all near each other: all their pairs were made, with the square of their number."""
+    number = 300
+    rows = [(i, i, 10, 5, 5, 0, 0, [7]) for i in range(number)]
+    sets = spark.createDataFrame(rows, "n long, c long, size long, w0 long, w1 long, w2 long, w3 long, prefix array<long>")
+    for key_rows in (shingle_sets.KEY_ROWS, 512):
+        found = [tuple(r) for r in shingle_sets._shingle_pairs(sets, key_rows).collect()]
+        assert len(found) <= 2 * number and {n for pair in found for n in pair} == set(range(number))
+
+
+def test_rarest_links_join_what_all_links_join(spark, monkeypatch):
+    """Loose copies of three texts in classes of their own, with groups cut into chunks."""
+    monkeypatch.setattr(shingle_sets, "GROUP_SETS", 8)
+    draw, texts = random.Random(21), []
+    for rate in (0.015, 0.02, 0.03):
+        base = [f"w{draw.random()}" for _ in range(90)]
+        texts += [" ".join(w if draw.random() > rate else f"v{draw.random()}" for w in base) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = shingle_sets.shingle_prints(docs, "doc_id", "text", 5).withColumnRenamed("doc_id", "n")
+    sets = prints.select("n", F.col("n").alias("c"), "size", *shingle_sets.word_columns(shingle_sets.WORDS), F.struct("t0", "t1").alias("t"))
+    everyone = docs.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    links = shingle_sets._rarest_links(sets, shingle_sets._sets_of(everyone, sets, docs, "text", 5))
+    got = {r.node: r.root for r in connected_components(links).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == plain_classes(list(enumerate(texts)))
+    assert len(set(got.values())) >= 3
