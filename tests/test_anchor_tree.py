@@ -49,3 +49,29 @@ def test_a_point_is_sent_once_to_a_bundle_of_leaves(spark, monkeypatch, group_ro
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(away <= 4.0)) if i != j}
     assert written["bundles"].count() > bundles
     assert written["visits"].count() <= bundles * len(data)
+
+
+def test_a_point_is_written_once_and_meets_each_bundle_once(spark, monkeypatch):
+    """Before, a point was written and sent once for each bundle of each chunk, with its distances to all leaves."""
+    draw = np.random.default_rng(6)
+    data = np.concatenate([draw.standard_normal((300, 8)), np.ones((150, 8)), draw.standard_normal((150, 8)) + 3])
+    big = 2**60
+    rows = [(big + i, v.tolist()) for i, v in enumerate(data)] + [(None, data[0].tolist()), (big, data[1].tolist())]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    written = {}
+    kept = anchor_module.materialize
+    monkeypatch.setattr(anchor_module, "materialize", lambda frame, label: written.setdefault(label, kept(frame, label)))
+    tops = spark.createDataFrame([rows[0], rows[500]], SCHEMA)
+    got = sorted(map(tuple, anchor_tree_join(df, tops, "id", "v", 1.5, group_rows=60).collect()))
+    assert written["visits"].count() == len(rows) - 1 and "_leaves" not in written["visits"].columns
+    # A leaf of copies is cut into chunks.
+    sizes = [r["count"] for r in written["bundles"].groupBy("_leaf").count().collect()]
+    assert max(sizes) >= 3
+    ids = [r[0] for r in rows if r[0] is not None]
+    vectors = np.array([r[1] for r in rows if r[0] is not None])
+    away = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2))
+    expected = sorted((ids[i], ids[j]) for i, j in zip(*np.nonzero(away <= 1.5)) if ids[i] != ids[j])
+    assert [g[:2] for g in got] == expected
+    monkeypatch.undo()
+    among = anchor_tree_join(df.where("id IS NOT NULL"), tops, "id", "v", 1.5, include_self=True, group_rows=60).count()
+    assert among == int((away <= 1.5).sum())
